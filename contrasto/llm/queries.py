@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from contrasto.llm.common import documents
 from contrasto.llm.exact_dedup import exact_dedup
+from contrasto.llm.language_id import language_id
 from contrasto.llm.packing import pack
+from contrasto.llm.simhash_dedup import simhash_dedup
 from contrasto.llm.token_files import token_files
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(documents(spark, sf_dir))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -22,7 +32,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op7_exact_dedup, op8_token_files, op10_packing)}
+QUERIES = {f.__name__: f for f in (op4_language_id, op6_simhash_dedup, op7_exact_dedup, op8_token_files, op10_packing)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
