@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from contrasto.llm.common import documents
+from contrasto.llm.decontaminate import decontaminate
 from contrasto.llm.exact_dedup import exact_dedup
 from contrasto.llm.language_id import language_id
 from contrasto.llm.packing import pack
@@ -12,6 +13,10 @@ from contrasto.llm.simhash_dedup import simhash_dedup
 from contrasto.llm.token_files import token_files
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
@@ -32,7 +37,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op6_simhash_dedup, op7_exact_dedup, op8_token_files, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_language_id, op6_simhash_dedup, op7_exact_dedup, op8_token_files, op10_packing)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
