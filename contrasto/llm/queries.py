@@ -11,6 +11,7 @@ from contrasto.llm.language_id import language_id
 from contrasto.llm.packing import pack
 from contrasto.llm.quality import quality_scores
 from contrasto.llm.simhash_dedup import simhash_dedup
+from contrasto.llm.substring_dedup import substring_dedup
 from contrasto.llm.token_files import token_files
 
 
@@ -26,6 +27,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(documents(spark, sf_dir))
 
@@ -42,7 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_decontaminate, op4_language_id, op6_simhash_dedup, op7_exact_dedup, op8_token_files, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_decontaminate, op4_language_id, op5_substring_dedup, op6_simhash_dedup, op7_exact_dedup, op8_token_files, op10_packing)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
