@@ -9,6 +9,7 @@ from contrasto.llm.decontaminate import decontaminate
 from contrasto.llm.exact_dedup import exact_dedup
 from contrasto.llm.language_id import language_id
 from contrasto.llm.packing import pack
+from contrasto.llm.pii import find_pii
 from contrasto.llm.quality import quality_scores
 from contrasto.llm.simhash_dedup import simhash_dedup
 from contrasto.llm.substring_dedup import substring_dedup
@@ -19,6 +20,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -47,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_decontaminate, op4_language_id, op5_substring_dedup, op6_simhash_dedup, op7_exact_dedup, op8_token_files, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_pii, op3_decontaminate, op4_language_id, op5_substring_dedup, op6_simhash_dedup, op7_exact_dedup, op8_token_files, op10_packing)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
