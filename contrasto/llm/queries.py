@@ -13,6 +13,7 @@ from contrasto.llm.pii import find_pii
 from contrasto.llm.quality import quality_scores
 from contrasto.llm.simhash_dedup import simhash_dedup
 from contrasto.llm.substring_dedup import substring_dedup
+from contrasto.llm.token_counts import token_counts
 from contrasto.llm.token_files import token_files
 
 
@@ -48,11 +49,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_pii, op3_decontaminate, op4_language_id, op5_substring_dedup, op6_simhash_dedup, op7_exact_dedup, op8_token_files, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_pii, op3_decontaminate, op4_language_id, op5_substring_dedup, op6_simhash_dedup, op7_exact_dedup, op8_token_files, op9_token_counts, op10_packing)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": r"""
