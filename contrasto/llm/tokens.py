@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,28 @@ _UNPLAIN = re.compile(rf"[^\t\n\x0b\x0c\r\x20-\x7e{_PLAIN_LETTERS}]")
 _PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_PLAIN_LETTERS}]+|[0-9]|[^\s0-9{_PLAIN_LETTERS}]+")
 
 
+# The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
+
+
+class _Pieces(dict):
+    """Ids of pieces; a piece not yet known is encoded by the library's merges."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer, self.merge = tokenizer, tokenizer.model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        if _UNPLAIN.search(piece):
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        elif piece.isascii():
+            ids = [t.id for t in self.merge(piece)]
+        else:
+            ids = [t.id for t in self.merge(piece.encode().decode("latin-1").translate(_ALPHABET))]
+        self[piece] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
 class PieceEncoder:
     """ids(text): the ids as bytes of little-endian unsigned 32-bit integers."""
 
@@ -42,29 +65,7 @@ class PieceEncoder:
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.by_piece = spec["model"].get("end_of_word_suffix") == "</w>" and pre[0].get("pattern", {}).get("Regex") == WORD_PATTERN
-        self.ends = np.zeros(self.vocab_size, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-        self.cache: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode unknown pieces in one call; each ends in its only token that ends a word."""
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        for lo in range(0, len(pieces), 2000):
-            some = pieces[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some) or cuts[-1] != len(ids):
-                self.cache.update((p, self.whole(p)) for p in some)
-                continue
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(some, cuts.tolist()):
-                self.cache[p] = raw[4 * at : 4 * end]
-                at = end
+        self.cache = _Pieces(self.tokenizer)
 
     def pieces(self, text: str) -> list[str]:
         if not _UNPLAIN.search(text):
@@ -76,21 +77,10 @@ class PieceEncoder:
 
     def ids(self, text: str) -> bytes:
         if not self.by_piece or any(s in text for s in self.special):
-            return self.whole(text)
-        pieces = self.pieces(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, pieces))
-        except KeyError:
-            missing = [p for p in dict.fromkeys(pieces) if p not in self.cache]
-            plain = [p for p in missing if not _UNPLAIN.search(p)]
-            self.learn(plain)
-            if len(plain) < len(missing):
-                self.cache.update((p, self.whole(p)) for p in missing if _UNPLAIN.search(p))
-            return b"".join(self.cache.get(p) or self._again(p) for p in pieces)
-
-    def _again(self, piece: str) -> bytes:
-        self.cache[piece] = self.whole(piece)
-        return self.cache[piece]
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.cache) > CACHE_PIECES:
+            self.cache.clear()
+        return b"".join(map(self.cache.__getitem__, self.pieces(text)))
 
 
 @lru_cache(maxsize=4)
