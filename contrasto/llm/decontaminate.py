@@ -213,11 +213,14 @@ def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options
     """The rows of ``df`` in which no item is found, with all their columns."""
     for index in indexes(benchmark, **options):
         shared = df.sparkSession.sparkContext.broadcast(index)
+        df = df.where(~F.pandas_udf(_leaks(shared), "boolean")(F.col(text_col)))
+    return df
 
-        def leaks(text: pd.Series, shared=shared) -> pd.Series:
-            hit = np.zeros(len(text), bool)
-            hit[[k for k, *_ in shared.value.find([t if isinstance(t, str) else None for t in text])]] = True
-            return pd.Series(hit)
 
-        df = df.where(~F.pandas_udf(leaks, "boolean")(F.col(text_col)))
-    return df
+def _leaks(shared):
+    def leaks(text: pd.Series) -> pd.Series:
+        hit = np.zeros(len(text), bool)
+        hit[[k for k, *_ in shared.value.find([t if isinstance(t, str) else None for t in text])]] = True
+        return pd.Series(hit)
+
+    return leaks
