@@ -17,6 +17,11 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with value computed once: a lambda's variable, where a plain column would be computed at each use."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize_space(x: str | Column) -> Column:
     """Null as empty, runs of Unicode white space as one space, ends trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(col(x), F.lit("")), r"(?U)[\s\x1c-\x1f]+", " "))
@@ -117,9 +122,18 @@ def content_tokens(x: str | Column, limit: int = 64) -> Column:
     words = F.transform(F.regexp_extract_all(F.coalesce(col(x), F.lit("")), F.lit(C.TOKEN_PATTERN), F.lit(0)), F.lower)
     words = F.array_sort(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(C.STOPWORDS)))
     # equal words are neighbours now, so a count is the distance of first and last place
-    # a word fills size + 2 - n places of the sorted list, so a small n is a high count
-    counted = F.transform(F.array_distinct(words), lambda w: F.struct((F.array_position(F.reverse(words), w) + F.array_position(words, w)).alias("n"), w.alias("w")))
-    return F.slice(F.transform(F.array_sort(counted), lambda s: s["w"]), 1, limit)
+
+
+    def ranked(ws: Column) -> Column:
+        # equal words are neighbours in the sorted array; a word's count is the distance to the next word's first place
+        heads = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: (i == 0) | (F.get(ws, i) != F.get(ws, i - 1)))
+
+        def counted(hs: Column) -> Column:
+            return F.transform(hs, lambda h, k: F.struct((h - F.coalesce(F.get(hs, k + 1), F.size(ws))).alias("n"), F.get(ws, h).alias("w")))
+
+        return F.slice(F.transform(F.array_sort(let(heads, counted)), lambda s: s["w"]), 1, limit)
+
+    return let(words, lambda ws: F.when(F.size(ws) > 0, ranked(ws)).otherwise(F.array().cast("array<string>")))
 
 
 def jaccard(a: str | Column, b: str | Column) -> Column:

@@ -221,10 +221,10 @@ def _with(anchors: str) -> str:
     return f"WITH an AS ({anchors}), m AS ({_MEMBERS}), size AS (SELECT route, b1, subject, b2, count(*) AS docs FROM m GROUP BY ALL)"
 
 
-@query(f"{_with(A.SPLIT_ANCHORS)} SELECT route, count(*) AS members, sum(seq) AS seqs FROM m GROUP BY route")
+@query(f"{_with(A.SPLIT_ANCHORS)} SELECT route, count(*) AS members, CAST(sum(seq) AS BIGINT) AS seqs FROM m GROUP BY route")
 def a1_bucket_members(spark, sf_dir):
     m = K.members(K.routes(A.select(spark, sf_dir, A.SPLIT_ANCHORS)))
-    return m.groupBy("route").agg(F.count("*").alias("members"), F.sum("seq").cast("decimal(38,0)").alias("seqs"))
+    return m.groupBy("route").agg(F.count("*").alias("members"), F.sum("seq").alias("seqs"))
 
 
 @query(f"""{_with(A.SPLIT_ANCHORS)}, by_kp AS (SELECT route, b1, subject, b2, kp_key, count(*) AS n FROM m GROUP BY ALL), s AS (SELECT route, b1, subject, b2, sum(n) AS docs, sum(n * (n - 1) // 2) AS same_kp FROM by_kp GROUP BY ALL)
