@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contrasto.functions import text as T
+from contrasto.sources.tables import materialize
 
 
 @dataclass(frozen=True)
@@ -132,7 +133,7 @@ def large_candidates(sized: DataFrame, feats: DataFrame, config: CandidateConfig
     seen = pool.join(tokens.withColumnRenamed("tokens", "lt"), [*CHUNK, "doc_id"]).join(tokens.select(*CHUNK, F.col("doc_id").alias("other"), F.col("tokens").alias("rt")), [*CHUNK, "other"])
     seen = seen.select(*CHUNK, "doc_id", "other", F.size(F.array_intersect("lt", "rt")).alias("common"))
     best = F.row_number().over(W.partitionBy(*CHUNK, "doc_id").orderBy(F.desc("common"), T.stable_hash("other"), "other"))
-    pool = seen.withColumn("k", best).where(F.col("k") <= config.candidate_pool_size).select(*CHUNK, "doc_id", "other")
+    pool = materialize(seen.withColumn("k", best).where(F.col("k") <= config.candidate_pool_size).select(*CHUNK, "doc_id", "other"), "pool")
     # neighbours on the ring of hashes, before and after in turn
     place = F.row_number().over(W.partitionBy(*CHUNK).orderBy(T.stable_hash("doc_id"), "doc_id")) - 1
     ring = sized.select(*CHUNK, "doc_id", "n").withColumn("place", place)
@@ -170,14 +171,16 @@ def top_pairs(candidates: DataFrame, scores: DataFrame, config: CandidateConfig
 
 def contributions(anchors: DataFrame, feats: DataFrame, config: CandidateConfig = CandidateConfig()) -> DataFrame:
     """Pairs by bucket with their scores: route, subject, slot, kp keys through ``b1``; sampled by key if so configured."""
-    m = members(routes(anchors))
+    # what several steps read is written once; else each of them would compute it again
+    m = materialize(members(routes(anchors)), "members")
+    feats = materialize(feats, "features")
     cut = chunks(usable(m, config), config)
-    sized = cut.join(cut.groupBy(*CHUNK).agg(F.count("*").alias("n")), CHUNK)
+    sized = materialize(cut.join(cut.groupBy(*CHUNK).agg(F.count("*").alias("n")), CHUNK), "chunks")
     small = small_pairs(sized.where(F.col("n") <= config.all_pairs_max_docs))
     large = sized.where(F.col("n") > config.all_pairs_max_docs)
-    cand = large_candidates(large, feats, config)
+    cand = materialize(large_candidates(large, feats, config), "candidates")
     wide = cand.select(F.least("doc_id", "other").alias("doc_a"), F.greatest("doc_id", "other").alias("doc_b"))
-    scores = scored(small.select("doc_a", "doc_b").unionByName(wide), feats, config)
+    scores = materialize(scored(small.select("doc_a", "doc_b").unionByName(wide), feats, config), "scores")
     chosen = small.unionByName(top_pairs(cand, scores, config)).select(*BUCKET, "doc_a", "doc_b").distinct()
     if config.pair_sample_rate < 1.0:
         chosen = chosen.where(T.unit_interval(F.concat("doc_a", F.lit("\0"), "doc_b")) < config.pair_sample_rate)
