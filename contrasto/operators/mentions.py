@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,8 +47,6 @@ def aggregate_mentions(mentions: DataFrame, keys: list[str], most: int = 64, mos
 
 def token_chunks(text: str, most_tokens: int = 510, overlap_chars: int = 100, most_chars: int = 0, pattern: str = r"\w+|[^\w\s]") -> list[tuple[int, str]]:
     """Overlapping windows of a text, each of at most ``most_tokens`` tokens; a window begins where the one before has ``overlap_chars`` left."""
-    import re
-
     if most_chars > 0:
         text = text[:most_chars]
     spans = [m.span() for m in re.finditer(pattern, text)]
@@ -64,8 +65,6 @@ def token_chunks(text: str, most_tokens: int = 510, overlap_chars: int = 100, mo
 
 def chunk_documents(docs: DataFrame, most_tokens: int = 510, overlap_chars: int = 100) -> DataFrame:
     """(document_id, chunk_start, chunk_text) of documents' windows."""
-    import pandas as pd
-
     def run(s: pd.Series) -> pd.Series:
         return pd.Series([[{"chunk_start": a, "chunk_text": t} for a, t in token_chunks(x or "", most_tokens, overlap_chars)] for x in s], dtype=object)
 

@@ -12,13 +12,13 @@ def ingest_stream(spark: SparkSession, folder: str, root: str, checkpoint: str)
     """Files of ``folder`` not yet seen by ``checkpoint`` go to the store under ``root``; documents already there stay as they are."""
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = jsonl.raw_documents(batch)
+        rows = jsonl.raw_documents(batch.withColumn("line", F.monotonically_increasing_id()))
         have = store._read(spark, f"{root}/docs", store.STORE).select("canonical_doc_id")
         fresh = store.first_rows(rows, ["file", "line"]).join(have, "canonical_doc_id", "left_anti")
         # a batch that runs again finds its documents in the store, so it adds nothing twice
         fresh.write.mode("append").parquet(f"{root}/docs")
 
     lines = spark.readStream.schema(jsonl.RAW_DOCUMENT).option("mode", "FAILFAST").json(folder)
-    rows = lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), *lines.columns)
+    rows = lines.select(F.col("_metadata.file_path").alias("file"), *lines.columns)
     query = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
