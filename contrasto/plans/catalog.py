@@ -108,7 +108,8 @@ def f8_extract_slots(spark, sf_dir):
     return A.select(spark, sf_dir, A.ORDER_EVIDENCE).select("document_id", joined(T.extract_slots("evidence")).alias("slots"))
 
 
-@query(f"SELECT document_id, array_to_string(list_distinct(list_transform(regexp_extract_all(evidence, '\\b(?:18|19|20)\\d{{2}}(?:[-/]\\d{{1,2}}(?:[-/]\\d{{1,2}})?)?\\b'), lambda x: lower(x))), '|') AS dates FROM ({A.ORDER_EVIDENCE}) e")
+@query(f"""SELECT document_id, array_to_string(list_filter(d, lambda x, i: list_position(d, x) = i), '|') AS dates
+    FROM (SELECT document_id, list_transform(regexp_extract_all(evidence, '\\b(?:18|19|20)\\d{{2}}(?:[-/]\\d{{1,2}}(?:[-/]\\d{{1,2}})?)?\\b'), lambda x: lower(x)) AS d FROM ({A.ORDER_EVIDENCE}) e) z""")
 def f9_extract_dates(spark, sf_dir):
     return A.select(spark, sf_dir, A.ORDER_EVIDENCE).select("document_id", joined(T.extract_dates("evidence")).alias("dates"))
 
