@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contrasto.functions import entities as E
 from contrasto.functions import text as T
+from contrasto.sources.tables import materialize
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,9 @@ def signals(tags: DataFrame, ner: DataFrame, config: PreparationConfig = Prepara
     rows = rows.withColumn("early", early)
     # entity names need Python; rows that are out already send it nothing
     rows = rows.withColumn("subjects", E.select_subjects(F.when(F.col("early").isNull(), F.col("evidence")).otherwise(""), "entities", config.max_subjects))
-    return rows.withColumn("reason", F.coalesce("early", F.when(F.size("subjects") == 0, "missing_subject"))).drop("early")
+    rows = rows.withColumn("reason", F.coalesce("early", F.when(F.size("subjects") == 0, "missing_subject"))).drop("early")
+    # anchors, reasons and manifest all read this; written once, so the patterns run once
+    return materialize(rows, "signals")
 
 
 def anchors(rows: DataFrame, domains: DataFrame | None = None, config: PreparationConfig = PreparationConfig()) -> DataFrame:

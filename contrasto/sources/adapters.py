@@ -71,5 +71,6 @@ def views(spark: SparkSession, sf_dir: str) -> None:
 
 
 def select(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The adapter's rows, dealt over the session's cores: a table of the test data is one file and so one task."""
     views(spark, sf_dir)
-    return spark.sql(sql)
+    return spark.sql(sql).repartition(spark.sparkContext.defaultParallelism)
