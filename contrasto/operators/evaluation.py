@@ -77,6 +77,23 @@ def oracle_curve(benchmark: DataFrame, results: DataFrame) -> DataFrame:
     return spark.createDataFrame(curve, "models int, added string, n long, c_rate double, p_rate double, f_rate double, k_rate double")
 
 
+def judge_prompt(answer: str | Column, ev: str | Column = "eval") -> Column:
+    """What a judge is asked: question, verified answers and the model's answer as JSON."""
+    e = T.col(ev)
+    return F.to_json(F.struct(e["question"].alias("question"), F.transform(e["gold_answers"], lambda g: g["value"]).alias("verified_answers"), T.col(answer).alias("model_answer")))
+
+
+def judged(responses: DataFrame, benchmark: DataFrame, answers: DataFrame) -> DataFrame:
+    """Responses with labels from a judge's texts.  answers: benchmark_id, raw.
+
+    Failed responses keep their status; a judge's failure leaves the response a success whose label is failed.
+    """
+    rows = responses.join(benchmark.select("benchmark_id", "eval"), "benchmark_id").join(answers, "benchmark_id", "left")
+    j = parse_judgment("raw", F.size("eval.gold_answers"))
+    rows = rows.withColumn("j", j)
+    return rows.select("benchmark_id", "status", F.when(F.col("status") == "success", F.coalesce("j.label", F.lit("failed"))).alias("label"), F.when(F.col("status") == "success", F.coalesce("j.error", F.when(F.col("raw").isNull(), "no answer of the judge"))).alias("judge_error"))
+
+
 JUDGMENT = "label string, credit string, rationale string, reasoning string, gold_assessments array<struct<covered:boolean,evidence:string>>, material_contradictions array<struct<claim:string,reason:string>>"
 
 

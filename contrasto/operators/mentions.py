@@ -90,6 +90,12 @@ def visible_text(s: str | Column) -> Column:
     return F.array_join(F.transform(T.col(s), lambda x: F.format_string("S%06d: %s", x["n"], x["sentence"])), "\n")
 
 
+def tag_prompt(url: str | Column, numbered: str | Column, taxonomy_json: str) -> Column:
+    """What a tagger is asked: one path of the taxonomy and the shortest range of sentence lines that supports it."""
+    rules = "Choose the one path of the taxonomy that fits the document best, in its exact wording, and the shortest range of numbered lines that supports it. Judge by the text rather than the address."
+    return F.concat(F.lit(f"{rules}\n\nTaxonomy: {taxonomy_json}\n\nDocument: "), F.to_json(F.struct(T.col(url).alias("url"), visible_text(numbered).alias("text"))))
+
+
 CONTENT = "is_knowledge_bearing boolean, content_type string, language string, reason string, tag_paths array<struct<path:string,confidence:double,evidence_start_sentence:int,evidence_end_sentence:int>>"
 
 

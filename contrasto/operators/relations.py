@@ -20,6 +20,14 @@ def tasks(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     return out.withColumn("error", F.when(F.col("text_a").isNull() | F.col("text_b").isNull(), "document missing from the store"))
 
 
+def compact(candidates: DataFrame, feats: DataFrame) -> DataFrame:
+    """Candidate pairs as tasks: pair_id, doc_a, doc_b and ``metadata`` as JSON with the hints of retrieval.  feats: doc_id, f."""
+    side = lambda s: feats.select(F.col("doc_id").alias(f"doc_{s}"), F.col("f").alias(f"f_{s}"))
+    both = candidates.join(side("a"), "doc_a").join(side("b"), "doc_b")
+    hints = F.struct("retrieval_signals", "subjects", "slots", *[F.col(f"f_{s}.{k}").alias(f"{n}_{s}") for s in "ab" for k, n in (("kp_key", "knowledge_point"), ("dates", "dates"), ("numbers", "numbers"))])
+    return both.select("pair_id", "doc_a", "doc_b", F.to_json(hints).alias("metadata"))
+
+
 def user_prompt(metadata: str | Column) -> Column:
     """What a relation model is asked: hints and both documents in full."""
     part = lambda s: F.concat(F.lit(f"Document {s.upper()} ("), f"url_{s}", F.lit("):\n"), f"text_{s}")

@@ -155,3 +155,46 @@ def test_responder_retry(spark):
     got = {r["key"]: (r["status"], r["rounds"]) for r in responders.run_stage(tasks, responders.replay(answers), parse, check).collect()}
     assert got == {"a": ("success", 1), "b": ("success", 2), "c": ("error", 2)}
     assert responders.message_text({"content": [{"text": "a"}, {"text": "b"}]}) == "ab" and responders.parse_headers(["A: b"]) == {"A": "b"}
+
+
+def test_prompts_and_cache(spark):
+    import contextlib
+
+    from contrasto.operators import mentions, web
+
+    ev = F.struct(F.lit("q").alias("question"), F.array(F.struct(F.lit("a").alias("value"))).alias("gold_answers"))
+    got = spark.range(1).select(evaluation.judge_prompt(F.lit("m"), ev).alias("p"), mentions.tag_prompt(F.lit("u"), mentions.sentences(F.lit("One. Two.")), "{}").alias("t")).first()
+    assert json.loads(got["p"]) == {"question": "q", "verified_answers": ["a"], "model_answer": "m"} and "S000002: Two." in got["t"]
+    cand = spark.sql("select 'p' pair_id, 'a' doc_a, 'b' doc_b, array('s') retrieval_signals, array('x') subjects, array('y') slots")
+    feats = spark.sql("select d doc_id, named_struct('kp_key', 'k', 'dates', array('1'), 'numbers', array('2')) f from (select explode(array('a', 'b')) d)")
+    assert json.loads(relations.compact(cand, feats).first()["metadata"])["dates_b"] == ["1"]
+    asked = spark.createDataFrame([("u1",), ("u2",), ("u1",)], "request string")
+    cache = spark.createDataFrame([("u2", "old")], "request string, response string")
+    out = {r["request"]: r["response"] for r in web.cached(asked, cache, web.page_responder(lambda u: {"url": u})).collect()}
+    assert out == {"u1": '{"url": "u1"}', "u2": "old"}
+
+    class Reply(contextlib.nullcontext):
+        def __init__(self):
+            import email
+
+            super().__init__(self)
+            self.headers = email.message_from_string("Content-Type: text/html; charset=utf-8")
+
+        read, geturl = lambda self, n: b"<title>T</title><p>x</p>", lambda self: "https://w/"
+
+    class Opener:
+        open = lambda self, request, timeout: Reply()
+
+    page = web.fetch_page("https://w", public=lambda u: True, opener=Opener())
+    assert page["title"] == "T" and page["text"] == "T x" and page["error"] is None
+    assert "not a public" in web.fetch_page("http://127.0.0.1/")["error"]
+
+
+def test_judged(spark):
+    items = spark.createDataFrame([(i, ("q", [("x",), ("y",)])) for i in "abcd"], "benchmark_id string, eval struct<question:string,gold_answers:array<struct<value:string>>>")
+    res = spark.createDataFrame([("a", "success"), ("b", "success"), ("c", "error"), ("d", "success")], "benchmark_id string, status string")
+    full = '{"credit": "full_credit", "gold_assessments": [{"covered": true}, {"covered": true}], "material_contradictions": []}'
+    half = '{"credit": "full_credit", "gold_assessments": [{"covered": true}, {"covered": false}], "material_contradictions": []}'
+    raw = spark.createDataFrame([("a", full), ("b", half), ("c", full)], "benchmark_id string, raw string")
+    got = {r["benchmark_id"]: (r["label"], r["judge_error"]) for r in evaluation.judged(res, items, raw).collect()}
+    assert got["a"] == ("complete", None) and got["b"] == ("failed", "judge credit is inconsistent with coverage") and got["c"] == (None, None) and got["d"][0] == "failed"
