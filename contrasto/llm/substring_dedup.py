@@ -3,7 +3,8 @@
 A string of ``LENGTH`` bytes that starts at two places has the same least hash among its 64-byte grams at both, at the
 same offset (the leftmost one counts).  So the places are dealt by that gram: equal strings always meet.
 
-1. Each task finds, for every text, the runs of neighbouring places with the same leftmost least gram.
+1. Each task finds, for every text, the runs of neighbouring places with the same leftmost least gram; the runs of one
+   gram within a text travel as one row.
 2. Only runs whose gram occurs in another run can hold a repeat; the others are dropped by a semi-join.
 3. The strings of the remaining runs are cut from the texts.  A task sends at most two copies of a string, for
    further copies can't change a decision; so a passage shared by very many documents stays small.  Runs of grams
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrasto.llm.common import batch, new_path, raw_texts, text_rows
+from contrasto.llm.common import batch, materialize, new_path, raw_texts, text_rows
 from contrasto.llm.suffix_array import repeated
 
 LENGTH = 400
@@ -42,8 +43,8 @@ REMEMBERED = 300_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = np.uint64((1 << 20) - 1)
 
-FOUND = pa.schema([("kind", pa.int32()), ("did", pa.int64()), ("th", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("key", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
-FOUND_DDL = "kind int, did long, th long, n_bytes long, sha string, key long, start long, n int"
+FOUND = pa.schema([("kind", pa.int32()), ("did", pa.int64()), ("th", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("key", pa.int64()), ("starts", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+FOUND_DDL = "kind int, did long, th long, n_bytes long, sha string, key long, starts array<long>, counts array<int>"
 CUT = pa.schema([("kind", pa.int32()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("key", pa.int64()), ("shash", pa.int64()), ("content", pa.binary())])
 CUT_DDL = "kind int, did long, th long, start long, key long, shash long, content binary"
 MARKS = pa.schema([("key", pa.int64()), ("shash", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
@@ -91,12 +92,16 @@ def find_runs(length: int):
                     runs.append((k, *gram_runs(raw, length)))
             n = len(docs)
             none = [None] * n
-            yield batch(FOUND, {"kind": [0] * n, "did": did, "th": th, "n_bytes": [d[0] for d in docs], "sha": [d[1] for d in docs], "key": none, "start": none, "n": none})
+            yield batch(FOUND, {"kind": [0] * n, "did": did, "th": th, "n_bytes": [d[0] for d in docs], "sha": [d[1] for d in docs], "key": none, "starts": none, "counts": none})
             if runs:
-                which = np.repeat([r[0] for r in runs], [len(r[1]) for r in runs])
-                n = len(which)
+                which, key, start, count = np.repeat([r[0] for r in runs], [len(r[1]) for r in runs]), *(np.concatenate([r[c] for r in runs]) for c in (1, 2, 3))
+                order = np.lexsort((start, key, which))
+                which, key, start, count = which[order], key[order], start[order], count[order]
+                first = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (key[1:] != key[:-1])))
+                lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(x.astype(kind)))
+                n = len(first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(n, np.int32)), pa.array(np.array(did)[which]), pa.array(np.array(th)[which]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), *(pa.array(np.concatenate([r[c] for r in runs]).astype(t)) for c, t in ((1, np.int64), (2, np.int64), (3, np.int32)))],
+                    [pa.array(np.ones(n, np.int32)), pa.array(np.array(did)[which[first]]), pa.array(np.array(th)[which[first]]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(key[first]), lists(start, np.int64), lists(count, np.int32)],
                     schema=FOUND,
                 )
 
@@ -117,8 +122,8 @@ def cut_strings(length: int):
                 rows.append((0, did, th, None, None, None, raw))
                 size += len(raw)
                 pieces = []
-                for r in runs.as_py():
-                    key, start, n = r["key"], r["start"], r["n"]
+                for r, start, n in ((r, *x) for r in runs.as_py() for x in zip(r["starts"], r["counts"])):
+                    key = r["key"]
                     if not r["hot"]:
                         pieces.append((key, start, n))
                         continue
@@ -241,9 +246,11 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``df``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.  ``length`` is 400 here (385 to 402 work)."""
     rows = text_rows(df, id_col, text_col).selectExpr(f"coalesce(doc_id, {-(1 << 63) + 1}L) AS did", "xxhash64(text) AS th", "text")
     found = _written(rows.mapInArrow(find_runs(length), FOUND_DDL), "substring")
-    runs = found.where("kind = 1").select("did", "th", "key", "start", "n")
-    often = runs.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", (F.col("c") > HOT).alias("hot"))
-    wanted = runs.join(often, "key").groupBy("did", "th").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("runs"))
+    runs = found.where("kind = 1").select("did", "th", "key", "starts", "counts")
+    often = runs.groupBy("key").agg(F.sum(F.size("starts")).alias("c")).where("c > 1").select("key", (F.col("c") > HOT).alias("hot"))
+    # written, so that both sides of the join have exchanges of their own and a frequent gram's rows can be split
+    often = materialize(often, "substring")
+    wanted = runs.join(often, "key").groupBy("did", "th").agg(F.collect_list(F.struct("key", "starts", "counts", "hot")).alias("runs"))
     cut = _written(rows.join(wanted, ["did", "th"]).mapInArrow(cut_strings(length), CUT_DDL), "substring")
     strings = cut.where("kind = 2").select("key", "shash", "content")
     marks = strings.repartition("key").sortWithinPartitions("key", "shash").mapInArrow(mark_blocks(length), MARKS_DDL)
