@@ -27,7 +27,7 @@ from contrasto.llm.tokens import END_ID, TOKENIZER, encoder
 WINDOW = 4096
 OPEN_WINDOWS = 16
 #: Tasks whose leftovers one merging task takes.
-MERGE = 64
+MERGE = 16
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
