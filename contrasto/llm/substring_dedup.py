@@ -36,7 +36,7 @@ GRAM = 64
 #: Places handled at a time within one text.
 PIECE = 1 << 19
 #: Runs of one gram from which on they are dealt again, and the places of a run then.
-HOT, HOT_PLACES = 2000, 16
+HOT, HOT_PLACES = 500, 16
 BLOCK_BYTES = 2 << 20
 #: Strings that a task remembers having sent.
 REMEMBERED = 300_000
