@@ -90,18 +90,23 @@ def bucket_stats(m: DataFrame, config: CandidateConfig = CandidateConfig()) -> D
 
 def usable(m: DataFrame, config: CandidateConfig = CandidateConfig()) -> DataFrame:
     """Members of buckets with partners, without over-frequent entities; with the bucket's size."""
-    return m.join(bucket_sizes(m).where("docs > 1"), BUCKET).where((F.col("route") != "ner") | (F.col("docs") <= config.max_entity_docs))
+    # written, so that the join has exchanges on both sides and Spark can split a frequent bucket
+    return m.join(materialize(bucket_sizes(m).where("docs > 1"), "buckets"), BUCKET).where((F.col("route") != "ner") | (F.col("docs") <= config.max_entity_docs))
 
 
 def chunks(m: DataFrame, config: CandidateConfig = CandidateConfig()) -> DataFrame:
     """Members with their chunks: windows of ``max_chunk_docs`` in hash order, each overlapping the one before."""
     step = max(1, config.max_chunk_docs - config.chunk_overlap)
     small = m.where(F.col("docs") <= config.max_chunk_docs).withColumn("chunk", F.lit(0).cast("long"))
-    # only buckets beyond one chunk are ranked
-    order = W.partitionBy(*BUCKET).orderBy(T.stable_hash("doc_id"), "doc_id")
+    # only buckets beyond one chunk are ranked; by bins of the hash, so that no task sorts a whole bucket
+    large = m.where(F.col("docs") > config.max_chunk_docs).withColumn("hash", T.stable_hash("doc_id")).withColumn("bin", F.substring("hash", 1, 2))
+    before = W.partitionBy(*BUCKET).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # at most 256 rows a bucket
+    bins = large.groupBy(*BUCKET, "bin").agg(F.count("*").alias("c")).withColumn("base", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
+    place = F.row_number().over(W.partitionBy(*BUCKET, "bin").orderBy("hash", "doc_id"))
     i = F.col("i")
     first = F.greatest(F.lit(0), F.floor((i - config.max_chunk_docs) / step) + 1)
-    large = m.where(F.col("docs") > config.max_chunk_docs).withColumn("i", F.row_number().over(order) - 1).withColumn("chunk", F.explode(F.sequence(first, F.floor(i / step)))).drop("i")
+    large = large.withColumn("place", place).join(bins, [*BUCKET, "bin"]).withColumn("i", F.col("base") + F.col("place") - 1)
+    large = large.withColumn("chunk", F.explode(F.sequence(first, F.floor(i / step)))).select(*small.columns)
     return small.unionByName(large)
 
 

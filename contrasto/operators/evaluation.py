@@ -38,16 +38,18 @@ def rates(n: Column, complete: Column, partial: Column, failed: Column) -> list[
 def summarize(benchmark: DataFrame, results: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Counts and rates over all benchmark items; results: benchmark_id, status, label (and model)."""
     keys = ["model"] if models is not None else []
-    grid = benchmark.select("benchmark_id").distinct()
-    if models is not None:
-        grid = grid.crossJoin(F.broadcast(models.select("model").distinct()))  # items x models: what the rates are over
-    full = grid.join(results, ["benchmark_id", *keys], "left").withColumn("good", F.coalesce(F.col("status") == "success", F.lit(False)))
-    label = F.when(F.col("good"), F.coalesce("label", F.lit("failed"))).otherwise("failed")
-    out = full.withColumn("final", label).groupBy(*keys).agg(
-        F.count("*").alias("n"), *[F.count_if(F.col("final") == x).alias(x) for x in ("complete", "partial", "failed")],
-        F.count("status").alias("result_records"), F.count_if(~F.col("good")).alias("missing_or_error"), F.count_if(F.col("good") & F.col("label").isNull()).alias("ungraded"),
+    items = benchmark.select("benchmark_id").distinct()
+    good = F.coalesce(F.col("status") == "success", F.lit(False))
+    per = results.join(items, "benchmark_id", "left_semi").groupBy(*keys).agg(
+        F.count("*").alias("result_records"), F.count_if(good).alias("successes"), F.count_if(good & F.col("label").isNull()).alias("ungraded"),
+        *[F.count_if(good & (F.col("label") == x)).alias(x) for x in ("complete", "partial")],
     )
-    return out.select("*", *rates(*[F.col(x) for x in ("n", "complete", "partial", "failed")]))
+    if keys:
+        per = models.select(*keys).distinct().join(per, keys, "left").fillna(0)
+    # items without a result need no row of their own: what is neither complete nor partial has failed
+    out = per.crossJoin(F.broadcast(items.agg(F.count("*").alias("n"))))  # a single row
+    out = out.withColumn("failed", F.col("n") - F.col("complete") - F.col("partial")).withColumn("missing_or_error", F.col("n") - F.col("successes"))
+    return out.select(*keys, "n", "complete", "partial", "failed", "result_records", "missing_or_error", "ungraded", *rates(*[F.col(x) for x in ("n", "complete", "partial", "failed")]))
 
 
 def oracle_curve(benchmark: DataFrame, results: DataFrame) -> DataFrame:
