@@ -280,29 +280,34 @@ def a3_pair_merge(spark, sf_dir):
 
 _TOPK = K.CandidateConfig(all_pairs_max_docs=12, support_top_k=2, conflict_top_k=2, rare_tokens=3, max_token_docs=5, candidate_pool_size=4, max_chunk_docs=16, chunk_overlap=4)
 # Hash order within buckets, overlapping chunks, rare-token pools, ring neighbours, top-k by either score.
-_TOPK_SQL = f"""{_with(A.ORDER_ANCHORS)}, {_FEATS}, an_docs AS (SELECT m.*, docs, row_number() OVER (PARTITION BY route, b1, subject, b2 ORDER BY left(sha1(doc_id), 16), doc_id) - 1 AS i FROM m JOIN size USING (route, b1, subject, b2) WHERE docs > 1),
-    ch AS (SELECT * EXCLUDE (i), unnest(CASE WHEN docs <= 16 THEN [0::BIGINT] ELSE range(greatest(0, CAST(floor((i - 16) / 12) AS BIGINT) + 1), CAST(floor(i / 12) AS BIGINT) + 1) END) AS chunk FROM an_docs),
+def _topk_sql(c: K.CandidateConfig) -> str:
+    step = max(1, c.max_chunk_docs - c.chunk_overlap)
+    return f"""{_with(A.ORDER_ANCHORS)}, {_FEATS}, an_docs AS (SELECT m.*, docs, row_number() OVER (PARTITION BY route, b1, subject, b2 ORDER BY left(sha1(doc_id), 16), doc_id) - 1 AS i FROM m JOIN size USING (route, b1, subject, b2) WHERE docs > 1),
+    ch AS (SELECT * EXCLUDE (i), unnest(CASE WHEN docs <= {c.max_chunk_docs} THEN [0::BIGINT] ELSE range(greatest(0, CAST(floor((i - {c.max_chunk_docs}) / {step}) AS BIGINT) + 1), CAST(floor(i / {step}) AS BIGINT) + 1) END) AS chunk FROM an_docs),
     sz AS (SELECT *, concat_ws('~', route, b1, subject, b2, chunk) AS g, count(*) OVER (PARTITION BY route, b1, subject, b2, chunk) AS n, row_number() OVER (PARTITION BY route, b1, subject, b2, chunk ORDER BY left(sha1(doc_id), 16), doc_id) - 1 AS place FROM ch),
-    small AS (SELECT l.route, l.b1, l.subject, l.b2, l.doc_id AS doc_a, r.doc_id AS doc_b FROM sz l JOIN sz r ON l.g = r.g AND l.doc_id < r.doc_id WHERE l.n <= 12 AND (l.route = 'kp' OR l.kp_key <> r.kp_key)),
-    tk AS (SELECT g, sz.doc_id, unnest(list_distinct(f.tokens)) AS token FROM sz JOIN f ON f.doc_id = sz.doc_id WHERE n > 12), df AS (SELECT g, token, count(*) AS df FROM tk GROUP BY ALL),
-    rare AS (SELECT g, token, doc_id FROM (SELECT tk.*, df, row_number() OVER (PARTITION BY g, doc_id ORDER BY df, token) AS k FROM tk JOIN df USING (g, token)) x WHERE k <= 3 AND df <= 5),
+    small AS (SELECT l.route, l.b1, l.subject, l.b2, l.doc_id AS doc_a, r.doc_id AS doc_b FROM sz l JOIN sz r ON l.g = r.g AND l.doc_id < r.doc_id WHERE l.n <= {c.all_pairs_max_docs} AND (l.route = 'kp' OR l.kp_key <> r.kp_key)),
+    tk AS (SELECT g, sz.doc_id, unnest(list_distinct(f.tokens)) AS token FROM sz JOIN f ON f.doc_id = sz.doc_id WHERE n > {c.all_pairs_max_docs}), df AS (SELECT g, token, count(*) AS df FROM tk GROUP BY ALL),
+    rare AS (SELECT g, token, doc_id FROM (SELECT tk.*, df, row_number() OVER (PARTITION BY g, doc_id ORDER BY df, token) AS k FROM tk JOIN df USING (g, token)) x WHERE k <= {c.rare_tokens} AND df <= {c.max_token_docs}),
     pool0 AS (SELECT DISTINCT a.g, a.doc_id, b.doc_id AS other FROM rare a JOIN rare b ON a.g = b.g AND a.token = b.token AND a.doc_id <> b.doc_id),
-    pool AS (SELECT g, pool0.doc_id, other FROM pool0 JOIN f x ON x.doc_id = pool0.doc_id JOIN f y ON y.doc_id = other QUALIFY row_number() OVER (PARTITION BY g, pool0.doc_id ORDER BY len(list_intersect(x.tokens, y.tokens)) DESC, left(sha1(other), 16), other) <= 4),
+    pool AS (SELECT g, pool0.doc_id, other FROM pool0 JOIN f x ON x.doc_id = pool0.doc_id JOIN f y ON y.doc_id = other QUALIFY row_number() OVER (PARTITION BY g, pool0.doc_id ORDER BY len(list_intersect(x.tokens, y.tokens)) DESC, left(sha1(other), 16), other) <= {c.candidate_pool_size}),
     have AS (SELECT g, doc_id, count(*) AS have FROM pool GROUP BY ALL),
-    asks AS (SELECT g, doc_id, n, place, unnest(range(1, 1 + least(4 - coalesce(have, 0), n - 1))) AS k FROM sz LEFT JOIN have USING (g, doc_id) WHERE n > 12),
+    asks AS (SELECT g, doc_id, n, place, unnest(range(1, 1 + least({c.candidate_pool_size} - coalesce(have, 0), n - 1))) AS k FROM sz LEFT JOIN have USING (g, doc_id) WHERE n > {c.all_pairs_max_docs}),
     ring AS (SELECT a.g, a.doc_id, b.doc_id AS other FROM (SELECT *, (place + CASE WHEN k % 2 = 1 THEN -((k + 1) // 2) ELSE k // 2 END + n) % n AS pos FROM asks) a JOIN sz b ON a.g = b.g AND b.place = a.pos WHERE a.doc_id <> b.doc_id),
     cand AS (SELECT c.*, s.route, s.b1, s.subject, s.b2, least(c.doc_id, other) AS doc_a, greatest(c.doc_id, other) AS doc_b FROM (SELECT * FROM pool UNION SELECT * FROM ring) c JOIN sz s ON s.g = c.g AND s.doc_id = c.doc_id JOIN sz o ON o.g = c.g AND o.doc_id = other WHERE s.route = 'kp' OR s.kp_key <> o.kp_key),
     pairs AS (SELECT doc_a, doc_b FROM small UNION SELECT doc_a, doc_b FROM cand), scores AS (SELECT * FROM ({_SCORES}) s WHERE NOT near),
-    top AS (SELECT route, b1, subject, b2, doc_a, doc_b FROM cand JOIN scores USING (doc_a, doc_b) QUALIFY row_number() OVER (PARTITION BY g, doc_id ORDER BY support_score DESC, other) <= 2 OR row_number() OVER (PARTITION BY g, doc_id ORDER BY conflict_score DESC, other) <= 2),
+    top AS (SELECT route, b1, subject, b2, doc_a, doc_b FROM cand JOIN scores USING (doc_a, doc_b) QUALIFY row_number() OVER (PARTITION BY g, doc_id ORDER BY support_score DESC, other) <= {c.support_top_k} OR row_number() OVER (PARTITION BY g, doc_id ORDER BY conflict_score DESC, other) <= {c.conflict_top_k}),
     chosen AS (SELECT u.*, m.slot FROM (SELECT * FROM small UNION SELECT * FROM top) u JOIN m ON m.route = u.route AND m.b1 = u.b1 AND m.subject = u.subject AND m.b2 = u.b2 AND m.doc_id = u.doc_a)"""
 
 
+_TOPK_SQL = _topk_sql(_TOPK)
+
+
 @query(f"{_TOPK_SQL} {_MERGED}")
 def w1_topk_pairs(spark, sf_dir):
     return _merged(K.build_candidates(A.select(spark, sf_dir, A.ORDER_ANCHORS), _TOPK))
 
 
-@query()
+@query(f"{_topk_sql(K.CandidateConfig.command_line())} {_MERGED}")
 def w1_production_pairs(spark, sf_dir):
     """The command line's defaults."""
     return _merged(K.build_candidates(A.select(spark, sf_dir, A.ORDER_ANCHORS), K.CandidateConfig.command_line()))
