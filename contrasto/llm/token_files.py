@@ -140,12 +140,14 @@ class TokenFile:
 
 
 def write_files(path: str, tokenizer: str, end_id: int, block: int):
+    run = uuid.uuid4().hex[:12]  # of this call, the same for all attempts of a task
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         where, folder = fs.FileSystem.from_uri(path)
         where.create_dir(folder, recursive=True)
-        name, draft = f"part-{part:06d}.ids", f".{part:06d}-{uuid.uuid4().hex}"
+        name, draft = f"part-{part:06d}-{run}.ids", f".{part:06d}-{uuid.uuid4().hex}"
         writer = None
         with where.open_output_stream(f"{folder}/{draft}") as out:
             writer = TokenFileWriter(out, bits_for(enc.vocab_size), block)
@@ -156,7 +158,10 @@ def write_files(path: str, tokenizer: str, end_id: int, block: int):
         if not done["n_docs"]:
             where.delete_file(f"{folder}/{draft}")
             return
-        where.move(f"{folder}/{draft}", f"{folder}/{name}")
+        if where.get_file_info(f"{folder}/{name}").type == fs.FileType.NotFound:
+            where.move(f"{folder}/{draft}", f"{folder}/{name}")
+        else:  # another attempt of this task has written the same file
+            where.delete_file(f"{folder}/{draft}")
         yield batch(FILES, {k: [v] for k, v in (done | {"file": f"{path}/{name}", "part": part}).items()})
 
     return write
