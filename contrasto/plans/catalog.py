@@ -14,7 +14,7 @@ from contrasto.functions import constants as C
 from contrasto.functions import entities as E
 from contrasto.functions import text as T
 from contrasto.operators import candidates as K
-from contrasto.operators import evaluation, export, mentions, prepare, recall, relations, validators, web
+from contrasto.operators import evaluation, export, mentions, prepare, recall, relations, responders, validators, web
 from contrasto.sources import adapters as A
 from contrasto.sources import jsonl, lookups, store
 
@@ -555,3 +555,33 @@ def p12_qa_errors(spark, sf_dir):
     qa = F.struct(F.lit(True).alias("keep"), F.lit(None).cast("string").alias("rejection_reason"), F.lit("s").alias("subject"), F.lit("a").alias("attribute"), F.lit("twelve").alias("preferred_answer"), F.array(*map(ask, C.FORMULATIONS)).alias("questions"), golds.alias("gold_answers"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", qa.alias("qa"), F.array(F.struct(F.lit("d1").alias("doc_id"), F.lit("It got 12 votes.").alias("text"))).alias("documents"))
     return o.select("o_orderkey", joined(validators.qa_errors()).alias("errors"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'answer verification 1 evidence is not verbatim' WHEN o_orderkey % 5 = 0 THEN 'answer verification 1 cites an unknown document'
+    WHEN o_orderkey % 7 = 0 THEN 'keep=true requires every comparability and QA check to pass' WHEN o_orderkey % 11 = 0 THEN 'keep=true requires verdict=verified' ELSE '' END AS errors FROM orders""")
+def p13_source_errors(spark, sf_dir):
+    k = F.col("o_orderkey")
+    quote = F.when(k % 3 == 0, "13 votes").otherwise("12 votes")
+    span = lambda d, q: F.array(F.struct(d.alias("doc_id"), q.alias("quote")))
+    where = F.when((k % 5 == 0) & (k % 3 != 0), "d9").otherwise("d1")
+    check = lambda v, d, q: F.struct(F.lit(v).alias("value"), F.lit(True).alias("supported"), span(d, q).alias("evidence_spans"), F.lit("r").alias("reason"))
+    others = (k % 3 == 0) | (k % 5 == 0)
+    flags = [F.lit(True).alias(n) for n in ("same_subject", "same_attribute", "same_fact_context")]
+    v = F.struct(F.lit(True).alias("keep"), F.when(~others & (k % 7 != 0) & (k % 11 == 0), "rejected").otherwise("verified").alias("verdict"), *flags, (others | (k % 7 != 0)).alias("qa_valid"), F.lit("r").alias("reason"),
+                 F.array(check("12", F.lit("d1"), F.lit("got 12")), check("30", where, quote)).alias("answer_verifications"))
+    qa = F.struct(F.array(F.struct(F.lit("12").alias("value")), F.struct(F.lit("30").alias("value"))).alias("gold_answers"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", v.alias("validation"), qa.alias("qa"), F.array(F.struct(F.lit("d1").alias("doc_id"), F.lit("It got 12 votes.").alias("text"))).alias("documents"))
+    return o.select("o_orderkey", joined(validators.source_errors()).alias("errors"))
+
+
+@query("""SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS rounds, count(*) AS tasks FROM orders GROUP BY ALL""")
+def x6_model_stage(spark, sf_dir):
+    """Tasks answered from a table; every third first answer is rejected, every fourth task has none that parses."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    tasks = o.select(k.cast("string").alias("key"), F.concat(F.lit("order "), k.cast("string")).alias("prompt"))
+    answers = o.select(k.cast("string").alias("key"), F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"), k.alias("k"))
+    good = F.concat(F.lit('{"v": '), F.when((F.col("k") % 3 == 0) & (F.col("attempt") == 1), -1).otherwise(1).cast("string"), F.lit("}"))
+    answers = answers.select("key", "attempt", F.when(F.col("k") % 4 == 0, "no object").otherwise(good).alias("response"))
+    done = responders.run_stage(tasks, responders.replay(answers), lambda c: F.from_json(evaluation.json_object(c), "v int"), lambda df: F.array_compact(F.array(F.when(F.col("value.v") < 0, "negative"))))
+    return done.groupBy("status", "rounds").agg(F.count("*").alias("tasks"))
