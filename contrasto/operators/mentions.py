@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,11 +17,40 @@ from contrasto.functions import entities as E
 from contrasto.functions import text as T
 
 
-def decode_mentions(tokens: DataFrame, keys: list[str], allowed: list[str] | None = None) -> DataFrame:
+def word_tokens(docs: DataFrame, key: str, words_at_a_time: int = 200_000) -> DataFrame:
+    """(key, word, start, end) of the words between single blanks of whole texts; a null text has none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, at, words, starts, ends = b.column(0), [], [], [], []
+
+            def made(ids=ids):
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(at))), pa.array(words, pa.string()), pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(ends), pa.int32())], names=[key, "word", "start", "end"])
+
+            for k, text in enumerate(b.column(1)):
+                if not text.is_valid:
+                    continue
+                w = text.as_py().split(" ")
+                size = np.fromiter(map(len, w), np.int32, len(w))
+                e = np.cumsum(size + 1, dtype=np.int32) - 1
+                at.append(np.full(len(w), k))
+                words += w
+                starts.append(e - size)
+                ends.append(e)
+                if len(words) >= words_at_a_time:
+                    yield made()
+                    at, words, starts, ends = [], [], [], []
+            if words:
+                yield made()
+
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, word string, start int, end int")
+
+
+def decode_mentions(tokens: DataFrame, keys: list[str], allowed: list[str] | None = None, texts: DataFrame | None = None) -> DataFrame:
     """Spans from token labels.
 
     tokens: keys, text, chunk_start, start, end, label (``B-``/``I-`` and a type, or ``O``).  A span goes on while tokens have
-    its type, lie at most two characters on, and a ``B-`` token touches the one before.
+    its type, lie at most two characters on, and a ``B-`` token touches the one before.  Where texts (keys, none null, and
+    text; a row a key) is given, tokens have no text: long texts meet their spans and don't travel with each token.
     """
     raw = F.regexp_extract("label", r"^[^-]*-(.*)$", 1)
     kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in C.ENTITY_LABELS.items() for x in kv]), raw), F.lower(raw))
@@ -29,10 +61,14 @@ def decode_mentions(tokens: DataFrame, keys: list[str], allowed: list[str] | Non
     before, end = F.lag("kind").over(order), F.lag("end").over(order)
     new = before.isNull() | (before != F.col("kind")) | (F.col("label").startswith("B-") & (F.col("start") > end + 1)) | (F.col("start") > end + 2)
     t = t.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(order)).where("kind is not null")
-    spans = t.groupBy(*keys, "span", "kind").agg(F.min("start").alias("s"), F.max("end").alias("e"), F.first("text").alias("text"), F.first("chunk_start").alias("c"))
+    text = [F.first("text").alias("text")] if texts is None else []
+    spans = t.groupBy(*keys, "span", "kind").agg(F.min("start").alias("s"), F.max("end").alias("e"), F.first("chunk_start").alias("c"), *text)
+    if texts is not None:
+        spans = spans.join(texts.select(*keys, "text"), keys)
     strip = "".join(f"\\{x}" if not x.isalnum() and not x.isspace() and ord(x) < 128 else x for x in E._STRIP)
     surface = F.regexp_replace(F.expr("substring(text, s + 1, e - s)"), f"^[{strip}]+|[{strip}]+$", "")
-    out = spans.withColumn("surface", surface).withColumn("norm", E.normalize_entity("surface")).where(E.reasonable_entity("surface", "norm"))
+    # explode keeps the text below it; else filters go down through a projection and the text waits for Python with each span
+    out = spans.select(*keys, "kind", "s", "e", "c", F.explode(F.array(surface)).alias("surface")).withColumn("norm", E.normalize_entity("surface")).where(E.reasonable_entity("surface", "norm"))
     return out.select(*keys, F.col("surface").alias("text"), "norm", F.col("kind").alias("label"), (F.col("c") + F.col("s")).alias("start"), (F.col("c") + F.col("e")).alias("end"))
 
 

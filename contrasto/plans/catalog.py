@@ -533,11 +533,11 @@ def a7_mention_aggregation(spark, sf_dir):
 
 @query()
 def f29_decode_mentions(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text", F.split("text", " ").alias("w"))
-    ends = F.expr("transform(sequence(1, size(w)), i -> length(array_join(slice(w, 1, i), ' ')))")
-    t = d.where("size(w) <= 400").select("doc_id", "text", F.posexplode(F.arrays_zip("w", ends.alias("e"))).alias("i", "t"))
-    t = t.select("doc_id", "text", F.lit(0).alias("chunk_start"), (F.col("t.e") - F.length("t.w")).alias("start"), F.col("t.e").alias("end"), F.when(F.col("t.w").rlike("^[A-Z]"), "B-PER").when(F.col("t.w").rlike("[,.]$"), "I-PER").otherwise("O").alias("label"))
-    return mentions.decode_mentions(t, ["doc_id"])
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    label = F.when(F.col("word").rlike("^[A-Z]"), "B-PER").when(F.col("word").rlike("[,.]$"), "I-PER").otherwise("O")
+    t = mentions.word_tokens(d, "doc_id").select("doc_id", F.lit(0).alias("chunk_start"), "start", "end", label.alias("label"))
+    # an O word with its two blanks is three characters at least, so spans end there without it too
+    return mentions.decode_mentions(t.where("label <> 'O'"), ["doc_id"], texts=d)
 
 
 @query()
