@@ -80,3 +80,17 @@ def test_near_stage_links_every_similar_pair(spark, tmp_path):
     docs = spark.read.parquet(f"{_documents(spark, tmp_path, rows)}/documents.parquet")
     got = P.near(spark, docs, str(tmp_path)).collect()
     assert pairs > 100 and sorted(r["doc_id"] for r in got) == sorted(set(root))
+
+
+def test_language_stage_learns_from_all_labels(spark, tmp_path):
+    import zlib
+
+    import corpus_pipeline as P
+
+    held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 3 == 1)
+    free = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 3 != 1)
+    rows = [(free, "the river and the stone of the garden", "en"), (held, "привет как твои дела сегодня", "ru"), (None, "καλημέρα σας φίλε μου", "el")]
+    kept = lambda at, rows: {r["text"] for r in P.language(spark, spark.read.parquet(f"{_documents(spark, at, rows)}/documents.parquet"), "").collect()}
+    assert kept(tmp_path / "a", rows) == {t for _, t, _ in rows}
+    bare = [(d, t, None) for d, t, _ in rows] + [(7, "12 !", None), (8, None, None), (9, "", None)]
+    assert kept(tmp_path / "b", bare) == {t for _, t, _ in rows}
