@@ -4,7 +4,7 @@ A string of ``LENGTH`` bytes that starts at two places has the same least hash a
 same offset (the leftmost one counts).  So the places are dealt by that gram: equal strings always meet.
 
 1. Each task finds, for every text, the runs of neighbouring places with the same leftmost least gram; the runs of one
-   gram within a text travel as one row.
+   gram within a text travel as one row, and once a task for repeated rows.
 2. Only runs whose gram occurs in another run can hold a repeat; the others are dropped by a semi-join.
 3. The strings of the remaining runs are cut from the texts.  A task sends at most two copies of a string, for
    further copies can't change a decision; so a passage shared by very many documents stays small.  Runs of grams
@@ -13,8 +13,13 @@ same offset (the leftmost one counts).  So the places are dealt by that gram: eq
    (difference cover, see suffix_array.py) and marks the places whose neighbours in the order agree for LENGTH bytes.
 5. Marks go back to the documents, and the covered bytes are removed.
 
-Defined cases: null text is empty; texts shorter than LENGTH keep everything; repeated rows count as further places;
-an empty table gives an empty result; further columns are ignored.
+Rows with the same id and text are one text in steps 2 to 5; each of them has all its strings in the others, so all of
+a text of LENGTH bytes or more that stands in several such rows is removed.  The work grows with the number of such rows, not its square.
+
+Defined cases: null text is empty; texts shorter than LENGTH keep everything; repeated rows count as further places (each
+loses all its bytes if it has LENGTH of them); very long texts are read in pieces of PIECE places, and a task's memory is a few times
+its longest text; equal strings need no order among them, so there are no ties; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ PIECE = 1 << 19
 #: Runs of one gram from which on they are dealt again, and the places of a run then.
 HOT, HOT_PLACES = 500, 16
 BLOCK_BYTES = 2 << 20
-#: Strings that a task remembers having sent.
+#: Strings and texts that a task remembers having sent; beyond it some are sent again, which changes nothing.
 REMEMBERED = 300_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOW = np.uint64((1 << 20) - 1)
@@ -84,12 +89,16 @@ def gram_runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
 
 def find_runs(length: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             did, th, docs, runs = b.column("did").to_pylist(), b.column("th").to_pylist(), [], []
             for k, raw in enumerate(raw_texts(b.column("text"))):
                 docs.append((len(raw), hashlib.sha256(raw).hexdigest()))
-                if len(raw) >= length:
+                if len(raw) >= length and (did[k], th[k]) not in seen:
+                    seen.add((did[k], th[k]))
                     runs.append((k, *gram_runs(raw, length)))
+            if len(seen) > REMEMBERED:
+                seen.clear()
             n = len(docs)
             none = [None] * n
             yield batch(FOUND, {"kind": [0] * n, "did": did, "th": th, "n_bytes": [d[0] for d in docs], "sha": [d[1] for d in docs], "key": none, "starts": none, "counts": none})
@@ -113,12 +122,16 @@ def cut_strings(length: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[tuple[int, int], int] = {}
+        seen: set[tuple[int, int]] = set()
         digest = xxhash.xxh3_64_intdigest
         sign = lambda h: h - (1 << 64) if h >> 63 else h
         rows: list[tuple] = []
         size = 0
         for b in batches:
             for did, th, raw, runs in zip(b.column("did").to_pylist(), b.column("th").to_pylist(), raw_texts(b.column("text")), b.column("runs")):
+                if (did, th) in seen:
+                    continue
+                seen.add((did, th))
                 rows.append((0, did, th, None, None, None, raw))
                 size += len(raw)
                 pieces = []
@@ -149,6 +162,8 @@ def cut_strings(length: int):
                     size += 64
                 if len(sent) > REMEMBERED:
                     sent.clear()
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 if size > 8 << 20:
                     yield batch(CUT, dict(zip(CUT.names, map(list, zip(*rows)))))
                     rows, size = [], 0
@@ -250,13 +265,18 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     often = runs.groupBy("key").agg(F.sum(F.size("starts")).alias("c")).where("c > 1").select("key", (F.col("c") > HOT).alias("hot"))
     # written, so that both sides of the join have exchanges of their own and a frequent gram's rows can be split
     often = materialize(often, "substring")
-    wanted = runs.join(often, "key").groupBy("did", "th").agg(F.collect_list(F.struct("key", "starts", "counts", "hot")).alias("runs"))
+    wanted = runs.join(often, "key").groupBy("did", "th").agg(F.collect_set(F.struct("key", "starts", "counts", "hot")).alias("runs"))
     cut = _written(rows.join(wanted, ["did", "th"]).mapInArrow(cut_strings(length), CUT_DDL), "substring")
     strings = cut.where("kind = 2").select("key", "shash", "content")
     marks = strings.repartition("key").sortWithinPartitions("key", "shash").mapInArrow(mark_blocks(length), MARKS_DDL)
     places = cut.where("kind = 1").select("did", "th", "start", "key", "shash")
-    marked = places.join(marks, ["key", "shash"]).groupBy("did", "th").agg(F.collect_list(F.struct("start", "lo", "hi")).alias("marks"))
+    marked = places.join(marks, ["key", "shash"]).groupBy("did", "th").agg(F.collect_set(F.struct("start", "lo", "hi")).alias("marks"))
     texts = cut.where("kind = 0").select("did", "th", "content")
     done = texts.join(marked, ["did", "th"]).mapInArrow(remove(length), DONE_DDL).dropDuplicates(["did", "th"])
     docs = found.where("kind = 0").select("did", "th", "n_bytes", "sha")
-    return docs.join(done, ["did", "th"], "left").selectExpr(f"nullif(did, {-(1 << 63) + 1}L) AS doc_id", "n_bytes", "coalesce(n_removed, 0L) AS n_removed", "coalesce(n_spans, 0L) AS n_spans", "coalesce(kept_sha256, sha) AS kept_sha256")
+    several = materialize(docs.where(F.col("n_bytes") >= length).groupBy("did", "th").agg(F.count("*").alias("c")).where("c > 1").select("did", "th", F.lit(True).alias("whole")), "substring")
+    out = docs.join(done, ["did", "th"], "left").join(several, ["did", "th"], "left")
+    return out.selectExpr(
+        f"nullif(did, {-(1 << 63) + 1}L) AS doc_id", "n_bytes", "if(whole, n_bytes, coalesce(n_removed, 0L)) AS n_removed", "if(whole, 1L, coalesce(n_spans, 0L)) AS n_spans",
+        f"if(whole, '{hashlib.sha256(b'').hexdigest()}', coalesce(kept_sha256, sha)) AS kept_sha256",
+    )
