@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Every round is joins and aggregations that combine before their shuffle, so neither a hub nor a large component
-meets in one task; each round's edges are written to the shared folder.
+Every round is joins and aggregations that combine before their shuffle.  The least neighbours are written before they are
+joined with the edges, so that both sides of the join have exchanges of their own and Spark can split a hub's edges over
+tasks (or send the small side to all).  Each round's edges are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         # large star: the larger neighbours of a node point to the least of its neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components")
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "components")
         # small star: a node and its smaller neighbours point to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "components")
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
         now = _mark(e)

@@ -9,7 +9,8 @@ never all pairs, and connected components join these.  Equal fingerprints are on
 
 Defined cases: null and empty texts have no words, fingerprint 0, and link like any other; texts of fewer words than a
 shingle hash their whole word sequence; repeated rows each give a row; a null doc_id is never a component_id
-unless its fingerprint has no other row (then null); further columns are ignored.
+unless its component has no other row (then null); a bit set in exactly half the hashes is 0; the hashes of a very long text
+take 8 bytes a word; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -216,10 +217,13 @@ def link_fingerprints(nodes: DataFrame, trie_limit: int = TRIE_LIMIT) -> DataFra
 
 
 def simhash_components(fps: DataFrame, trie_limit: int = TRIE_LIMIT) -> DataFrame:
-    """fps: doc_id, fp.  Per distinct fp: fp, node (its smallest doc_id), component_id."""
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash")
-    linked = components(link_fingerprints(nodes.where("node is not null"), trie_limit))
-    return nodes.join(linked, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("component_id"))
+    """fps: doc_id, fp.  Per distinct fp: fp, component_id.  Fingerprints are their own nodes, so rows without an id link too."""
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash")
+    linked = components(link_fingerprints(nodes.select("fp", F.col("fp").alias("node")), trie_limit)).withColumnRenamed("node", "fp")
+    marked = nodes.join(linked, "fp", "left")
+    smallest = materialize(marked.where("root is not null").select(F.col("root").alias("fp"), "least").unionByName(nodes.join(linked.select(F.col("root").alias("fp")).distinct(), "fp")).groupBy("fp").agg(F.min("least").alias("component_id")), "simhash")
+    marked = marked.select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return marked.join(smallest.withColumnRenamed("fp", "root"), "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
