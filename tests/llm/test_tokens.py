@@ -111,22 +111,36 @@ def test_packing_merge_rounds(docs, rows, library, monkeypatch):
     _check_packing(K.pack(docs.repartition(7)).collect(), [(d, t) for d, t, _ in rows], library)
 
 
+def _apply(text, edits):
+    """A round of edits by the rules: clipped, sorted, of overlapping ones the first; the text after it and how many counted."""
+    n, out, at, k, last = len(text), [], 0, 0, 0
+    for a, z, new in sorted((min(max(a, 0), n), min(max(a, z, 0), n), new or "") for a, z, new in edits if a is not None and z is not None):
+        if k == 0 or a >= last:
+            out += [text[at:a], new]
+            at = last = z
+            k += 1
+    return "".join([*out, text[at:]]), k
+
+
 def test_counts(docs, rows, library, none):
     got = {(r["doc_id"], r["n_tokens"]): r for r in C.token_counts(docs).collect()}
     for d, t, _ in rows:
-        edits = C.cleaning_edits(t or "")
-        new = _apply(t or "", edits)
+        new, n = _apply(t or "", C.cleaning_edits(t or ""))
         r = got[d, len(library(t)) - 1]
-        assert (r["n_edits"], r["n_tokens_edited"], r["n_chars_edited"]) == (len(edits), len(library(new)) - 1, len(new))
+        assert (r["n_edits"], r["n_tokens_edited"], r["n_chars_edited"]) == (n, len(library(new)) - 1, len(new))
     assert C.token_counts(none).count() == 0
 
 
-def _apply(text, edits):
-    out, at = [], 0
-    for a, z, new in edits:
-        out += [text[at:a], new]
-        at = z
-    return "".join([*out, text[at:]])
+def _leaves(tree):
+    ends = np.cumsum(tree.chars[tree.size :])
+    return [tree.text[a:z] for a, z in zip([0, *ends], ends)]
+
+
+def _sums_right(tree, size):
+    for heap in (tree.tokens, tree.chars):
+        assert all(heap[k] == heap[2 * k] + heap[2 * k + 1] for k in range(1, tree.size))
+    leaves = _leaves(tree)
+    assert "".join(leaves) == tree.text and all(size(x) == n for x, n in zip(leaves, tree.tokens[tree.size :]))
 
 
 def test_edit_tree():
@@ -134,24 +148,67 @@ def test_edit_tree():
     size = lambda t: len(e.ids(t)) // 4
     rng = random.Random(5)
     for _ in range(3000):
-        t = "".join(rng.choices("ab c'd\n1 .é", k=rng.randrange(60)))
-        cuts = sorted(rng.choices(range(len(t) + 1), k=2 * rng.randrange(5)))
-        edits = []
-        for a, z in zip(cuts[::2], cuts[1::2]):
-            if not edits or a >= edits[-1][1] and (a, z) != edits[-1][:2]:
-                edits.append((a, z, rng.choice(["", " ", "x", "<q>", "b c"])))
-        tree = C.CountTree(t, size, True, leaf=rng.choice([1, 3, 8]))
+        t = "".join(rng.choices("ab c'd\n1 .é-", k=rng.randrange(60)))
+        leaf = rng.choice([1, 3, 8])
+        tree = C.CountTree.build(t, size, True, leaf)
+        tree.special = ("<b>",)
         assert tree.total == size(t)
-        tree.edit(edits)
-        assert "".join(tree.leaves) == _apply(t, edits) and tree.total == size(_apply(t, edits))
+        for _ in range(3):  # several rounds on one tree
+            edits = [(*sorted(rng.choices(range(-1, len(t) + 3), k=2)), rng.choice(["", " ", "x", "<q>", "b c", "<b", ">", "a long new text, it's 12 words or so"])) for _ in range(rng.randrange(4))]
+            new, n = _apply(t, edits)
+            assert tree.edit(edits, size, True, leaf) == n
+            t = new
+            assert tree.text == t and tree.total == size(t)
+            _sums_right(tree, size)
+
+
+def test_edges():
+    """Counts add up at every edge."""
+    e = encoder()
+    size = lambda t: len(e.ids(t)) // 4
+    rng = random.Random(8)
+    al = "ab'sS tTdD \n\t.,!-_#0123é中Σσ²’\u0301\u0338=<>"
+    for _ in range(2000):
+        t = "".join(rng.choices(al, k=rng.randrange(40)))
+        for k in range(1, len(t)):
+            assert not C.edge(t, k) or size(t[:k]) + size(t[k:]) == size(t), (t, k)
 
 
 def test_edit_is_local():
     e = encoder()
-    text = "many words here and there " * 4000
-    tree = C.CountTree(text, lambda t: len(e.ids(t)) // 4)
-    tree.edit([(5000, 5003, "new"), (90_000, 90_100, "")])
-    assert tree.encoded < 2000
+    size = lambda t: len(e.ids(t)) // 4
+    text = "many words here and there " * 40_000  # a very long text
+    tree = C.CountTree.build(text, size)
+    assert tree.edit([(5000, 5003, "new"), (90_000, 90_100, "")], size) == 2
+    assert tree.encoded < 2000 and tree.total == size(tree.text)
+
+
+def test_edit_rounds(spark, docs, rows, library):
+    """Three rounds from tables, trees written and read between them; repeated rows, null ids, odd positions."""
+    from contrasto.llm.common import materialize
+
+    rng = random.Random(6)
+    texts = {}
+    for d, t, _ in rows:
+        texts.setdefault(d, []).append(t or "")
+    trees = materialize(C.build_trees(docs), "trees")
+    assert sorted(r[0] for r in trees.selectExpr("element_at(tokens, 2)").collect()) == sorted(len(library(t)) - 1 for v in texts.values() for t in v)
+    for k in range(3):
+        edits = []
+        for d, own in texts.items():
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                a = rng.randrange(-2, len(own[0]) + 5)
+                edits.append((d, a, a + rng.choice([0, 1, 5, 400]), rng.choice([None, "", "x", " brand new words, 12", "<|endoftext|>" * (k == 1)])))
+        edits += [(0, None, 3, "no"), (987654, 0, 1, "nobody's")]
+        table = spark.createDataFrame([(*e, "more") for e in edits], "doc_id long, start long, end long, new string, tokens string")
+        trees = materialize(C.apply_edits(trees, table), "trees")
+        for d, own in texts.items():
+            texts[d] = [_apply(t, [e[1:] for e in edits if e[0] == d])[0] for t in own]
+        got = sorted((str(r["doc_id"]), r["text"], r["tokens"][1], r["chars"][1]) for r in trees.collect())
+        assert got == sorted((str(d), t, len(library(t)) - 1, len(t)) for d, own in texts.items() for t in own)
+    versions = spark.createDataFrame([(300, 0, 1, "!", 5)], EDITS := "doc_id long, start long, end long, new string, version long")
+    assert {r["n_edits"] for r in C.apply_edits(trees, versions).collect()} == {0}  # meant for another text
+    assert C.apply_edits(trees.limit(0), spark.createDataFrame([], EDITS)).count() == 0
 
 
 def test_pipeline(spark, tmp_path, library, rows):
