@@ -7,9 +7,13 @@ slot j holds a word whose bit l is slot j of language l's filter, so k look-ups
 contain an n-gram.  A text's count for a language is the popcount of that bit over its n-grams, corrected for the
 filter's false-positive rate; the largest count decides, and its share of the text's n-grams is the score.
 
+A task makes the filter of one language from its n-grams, another joins the filters of up to 64 languages to words, and the words
+are written to the shared folder, from where the predicting tasks read them; the driver has the names, sums and rates alone.
+There is no bound on the number of languages.
+
 Defined cases: null text and text without a letter give ``und`` and score 0; without any training row every text gives
-``und``; ties go to the language with more training n-grams, then to the first by name; repeated rows each give a row;
-further columns are ignored.
+``und``; ties go to the language with more training n-grams, then to the first by name; very long texts take a few
+numbers for each character, one batch at a time; repeated rows each give a row; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,18 +25,22 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrasto.llm.common import batch, text_rows
+from contrasto.llm.common import batch, materialize, new_path, text_rows
 
 UNKNOWN = "und"
 #: Least share of a language's n-grams; its inverse bounds the n-grams of a language.
 LEAST_SHARE = 1e-5
 SLOTS_LOG2 = 20
 HASHES = 3
-#: The filters take SLOTS * languages / 8 bytes; this bounds what is sent to the executors (64 MB).
-MOST_LANGUAGES = 512
+#: Languages of one array of words; with at most NARROW languages a word has 8 bits.
+WORD, NARROW = 64, 8
+#: Arrays of words (8 MB each) that a worker keeps.
+WORDS_KEPT = 8
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
@@ -77,50 +85,75 @@ def slots(code: np.ndarray, k: int) -> np.ndarray:
     return ((x * _MULT[k]) >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
 
 
+def language_bits(code: np.ndarray) -> np.ndarray:
+    """The filter of one language, packed bits of its slots."""
+    bits = np.zeros(1 << SLOTS_LOG2, bool)
+    for k in range(HASHES):
+        bits[slots(code, k)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def words_of(filters: list[np.ndarray], narrow: bool) -> np.ndarray:
+    """Bit-sliced words of up to 64 filters."""
+    kind = np.uint8 if narrow else np.uint64
+    words = np.zeros(1 << SLOTS_LOG2, kind)
+    for i, bits in enumerate(filters):
+        words |= np.unpackbits(bits, bitorder="little").astype(kind) << kind(i)
+    return words
+
+
+@lru_cache(WORDS_KEPT)
+def _read_words(path: str, k: int, narrow: bool) -> np.ndarray:
+    where, folder = fs.FileSystem.from_uri(path)
+    raw = pq.read_table(f"{folder}/word={k}", filesystem=where, columns=["words"], partitioning=None).column("words")[0].as_buffer()
+    return np.frombuffer(raw, np.uint8 if narrow else np.uint64)
+
+
 @dataclass
 class LanguageFilter:
-    """``table[w]``: the words of languages 64 w to 64 w + 63 (narrower where there are few)."""
+    """Words of languages 64 w to 64 w + 63 lie under ``path``, or in ``table`` where they were built in memory."""
 
     languages: list[str]
-    table: np.ndarray
     false_rate: np.ndarray
     prior: np.ndarray
+    path: str = ""
+    table: list[np.ndarray] | None = None
+
+    @property
+    def narrow(self) -> bool:
+        return len(self.languages) <= NARROW
 
     @staticmethod
     def build(members: list[tuple[str, int, int]]) -> LanguageFilter:
-        """members: (language, n-gram, training count)."""
-        languages = sorted({m[0] for m in members})
-        if len(languages) > MOST_LANGUAGES:
-            raise ValueError(f"{len(languages)} languages; the filters are bounded to {MOST_LANGUAGES}")
-        kind = np.uint8 if len(languages) <= 8 else np.uint64
-        width = 8 * np.dtype(kind).itemsize
-        table = np.zeros((-(-len(languages) // width) or 1, 1 << SLOTS_LOG2), kind)
-        fill, prior = [], []
-        for i, lang in enumerate(languages):
-            code = np.array([m[1] for m in members if m[0] == lang], np.int64).view(np.uint64)
-            bit = kind(1 << (i % width))
-            for k in range(HASHES):
-                at = np.unique(slots(code, k))
-                table[i // width, at] |= bit
-            fill.append(((table[i // width] & bit) != 0).mean())
-            prior.append(sum(m[2] for m in members if m[0] == lang))
-        return LanguageFilter(languages, table, np.array(fill) ** HASHES, np.array(prior, float))
+        """In memory.  members: (language, n-gram, training count)."""
+        by: dict[str, list[tuple[int, int]]] = {}
+        for lang, code, n in members:
+            by.setdefault(lang, []).append((code, n))
+        languages = sorted(by)
+        filters = [language_bits(np.array([c for c, _ in by[x]], np.int64).view(np.uint64)) for x in languages]
+        fill = np.array([np.bitwise_count(f).sum() / (1 << SLOTS_LOG2) for f in filters])
+        table = [words_of(filters[k : k + WORD], len(languages) <= NARROW) for k in range(0, len(languages), WORD)]
+        return LanguageFilter(languages, fill**HASHES, np.array([sum(n for _, n in by[x]) for x in languages], float), table=table)
+
+    def words(self, k: int) -> np.ndarray:
+        return self.table[k] if self.table is not None else _read_words(self.path, k, self.narrow)
 
     def counts(self, code: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
         """Per text and language the n-grams that the language contains, as the filters have it."""
         at = [slots(code, k) for k in range(HASHES)]
-        width, out = 8 * self.table.dtype.itemsize, np.zeros((n, len(self.languages)))
-        for w, words in enumerate(self.table):
+        out = np.zeros((n, len(self.languages)))
+        for w in range(-(-len(self.languages) // WORD)):
+            words = self.words(w)
             mask = words[at[0]]
             for a in at[1:]:
                 mask &= words[a]
-            if width == 8:
+            if self.narrow:
                 by = np.bincount(which * 256 + mask, minlength=256 * n).reshape(n, 256)
                 bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
                 out[:, :] = (by @ bits.astype(np.int64))[:, : len(self.languages)]
                 continue
-            for i in range(w * width, min(len(self.languages), (w + 1) * width)):
-                out[:, i] = np.bincount(which[(mask >> np.uint64(i - w * width)) & np.uint64(1) == 1], minlength=n)
+            for i in range(w * WORD, min(len(self.languages), (w + 1) * WORD)):
+                out[:, i] = np.bincount(which[(mask >> np.uint64(i - w * WORD)) & np.uint64(1) == 1], minlength=n)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -166,9 +199,31 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     """Learn the filters from all rows with a language."""
     rows = training.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     counted = rows.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # written, as three steps read it; the totals have one row a language, and Spark sends them to all only where they are small
+    counted = materialize(counted, "grams")
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    members = counted.join(F.broadcast(total), "lang").where(F.col("n") >= F.col("total") * F.lit(least_share))
-    return LanguageFilter.build([tuple(r) for r in members.select("lang", "gram", "n").collect()])
+    members = counted.join(total, "lang").where(F.col("n") >= F.col("total") * F.lit(least_share))
+    path = new_path(training.sparkSession, "languages")
+
+    def one(key: tuple, t: pa.Table) -> pa.Table:
+        # at most 1 / least_share rows
+        bits = language_bits(t.column("gram").to_numpy().view(np.uint64))
+        return pa.table({"lang": [key[0].as_py()], "prior": pa.array([int(t.column("n").to_numpy().sum())], pa.int64()), "set": pa.array([int(np.bitwise_count(bits).sum())], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    filters = materialize(members.select("lang", "gram", "n").groupBy("lang").applyInArrow(one, "lang string, prior long, set long, bits binary"), "filters")
+    known = filters.select("lang", "prior", "set").orderBy("lang").toArrow()
+    languages = known.column("lang").to_pylist()
+    narrow = len(languages) <= NARROW
+
+    def together(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("place")
+        return pa.table({"word": pa.array([key[0].as_py()], pa.int64()), "words": pa.array([words_of([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("bits")], narrow).tobytes()], pa.binary())})
+
+    if languages:
+        places = training.sparkSession.createDataFrame([(x, i, i // WORD) for i, x in enumerate(languages)], "lang string, place long, word long")
+        filters.join(places, "lang").select("word", "place", "bits").groupBy("word").applyInArrow(together, "word long, words binary").write.partitionBy("word").parquet(path)
+    fill = known.column("set").to_numpy() / (1 << SLOTS_LOG2)
+    return LanguageFilter(languages, fill**HASHES, known.column("prior").to_numpy().astype(float), path)
 
 
 def predictor(df: DataFrame, model: LanguageFilter):

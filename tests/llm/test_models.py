@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -91,11 +92,65 @@ def test_filters_with_many_languages():
     names = [f"l{i:03d}" for i in range(70)]
     sets = {n: {rng.getrandbits(60) for _ in range(200)} for n in names}
     f = L.LanguageFilter.build([(n, g, 1) for n, s in sets.items() for g in s])
+    assert len(f.table) == 2
     code = np.array(sorted(sets["l065"]), np.uint64)
     counts = f.counts(code, np.zeros(len(code), np.int64), 1)[0]
     assert counts.argmax() == 65 and counts[65] == 200 and counts[:65].max() < 20
 
 
+def _exact_sets(rows, least_share=L.LEAST_SHARE):
+    """Per language the n-grams of enough share, from a plain count."""
+    count = {}
+    for lang, text in rows:
+        code = L.grams([text])[0].tolist() if text else []
+        c = count.setdefault(lang, Counter())
+        c.update(code)
+    return {k: ({g for g, n in c.items() if n >= least_share * c.total()}, sum(n for n in c.values() if n >= least_share * c.total())) for k, c in count.items()}
+
+
+def _exact_prediction(sets, text):
+    """The language whose set holds most of the text's n-grams, and its share; ties to the larger prior, then by name."""
+    code, _, has = L.grams([text or ""])
+    if not has[0] or not sets:
+        return "und", 0.0
+    by = {k: sum(g in s for g in code.tolist()) for k, (s, _) in sets.items()}
+    best = min(by, key=lambda k: (-by[k], -sets[k][1], k))
+    return best, by[best] / len(code)
+
+
+def test_language_against_exact_sets(spark):
+    """The filters built by tasks decide as exact n-gram sets do, but where two languages are as good as even."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()
+    sets = _exact_sets([(d["lang"], d["text"]) for d in docs if d["lang"] is not None and zlib.crc32(str(d["doc_id"]).encode()) % 3 != 1])
+    got = {r["doc_id"]: r for r in queries.op4_language_id(spark, DATA).collect()}
+    for d in docs:
+        want, share = _exact_prediction(sets, d["text"])
+        r = got[d["doc_id"]]
+        assert abs(r["score"] - share) < 0.02, d["doc_id"]
+        if r["lang_pred"] != want:
+            code = L.grams([d["text"]])[0].tolist()
+            other = sum(g in sets[r["lang_pred"]][0] for g in code) / len(code)
+            assert share - other < 0.02, d["doc_id"]
+
+
+def test_more_languages_than_a_word_holds(spark, monkeypatch):
+    """130 languages, each of letters of its own: three arrays of words, read back by the tasks."""
+    rng = random.Random(9)
+    word = lambda i: "".join(chr(0x4E00 + 20 * i + rng.randrange(20)) for _ in range(4))
+    rows = [(f"x{i:03d}", " ".join(word(i) for _ in range(40))) for i in range(130) for _ in range(2)]
+    df = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = L.fit(df)
+    assert model.languages == sorted({x for x, _ in rows}) and model.table is None
+    got = df.select("lang", L.predictor(df, model)("text").alias("p")).select("lang", "p.lang_pred").collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+
+
+def test_a_very_long_text_in_one_language(spark):
+    rows = [(1, "the river and the bridge " * 100_000, "en"), (2, "der Fluss und die Brücke " * 3, "de"), (3, "the bridge", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in L.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), folds=1, fold=1).collect()}
+    assert got == {1: "en", 2: "de", 3: "en"}
+
+
 def _distance(item, text):
     """Least edits of item against any stretch of text."""
     d = np.zeros(len(text) + 1, int)
