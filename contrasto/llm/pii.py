@@ -2,11 +2,14 @@
 
 The patterns give the base spans (leftmost, not overlapping per kind), each found in time linear in the text.
 The random field is trained from a small labelled table of sentences, built from templates; it finds forms that the
-patterns don't cover, such as phone numbers without a plus sign or addresses written with "at" and "dot".  It reads
-the neighbourhoods of digits, at signs and such words; batches of neighbourhoods are decoded together by Viterbi in numpy.
-Its spans are added where they don't overlap a base span, and base spans always stay.
-
-Defined cases: null text is empty and gives zero counts and empty strings; an empty table gives an empty result;
+patterns don't cover, such as phone numbers without a plus sign or addresses written with "at" and "dot".  It reads every
+line of a text as one sequence.  Batches are decoded by Viterbi in numpy, without the tokens that are surely outside: where
+the best that any labels could gain over "outside" in a stretch of tokens (an upper bound from emissions and transitions) is
+negative for every stretch around a token, the best path has it outside, so what lies between such tokens is decoded by itself
+and the result is that of the whole line.  Spans that look like their kind are added where they don't overlap a base span, and base spans always stay.
+
+Defined cases: null text is empty and gives zero counts and empty strings; of labels with equal scores the first in ``LABELS``
+counts; very long texts and lines are read whole, ``SCORED`` tokens at a time; an empty table gives an empty result;
 repeated rows each give a row; further columns are ignored.  Counts are of base spans.
 """
 
@@ -17,7 +20,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +30,10 @@ from contrasto.llm.common import batch, text_rows
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-#: Code points around a trigger that the random field reads.
-CONTEXT = 60
-#: Padded tokens of one decoding batch.
-DECODE_TOKENS = 100_000
+#: Padded tokens of one decoding batch, and tokens whose emissions are computed at a time.
+DECODE_TOKENS, SCORED = 100_000, 200_000
+#: Tokens whose features a worker remembers.
+REMEMBERED = 500_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -84,8 +87,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ---- the random field
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
-_TRIGGER = re.compile(r"[0-9]+|@")
-_SPELT = re.compile(r"[\[({]\s?at\s?[\])}]|\bat\s+[a-z0-9-]+\s+dot\b", re.I)
+#: The same tokens, each with the white space character before it.
+_SPACED = re.compile(r"\s?(?:[^\W\d_]+|[0-9]+|[^\s])")
 WORDS = frozenset("at dot com net org example mail email write contact phone tel telephone mobile call fax cell card visa credit number ip address server host login from no version isbn order invoice page year in on room chapter total costs usd eur id".split())
 OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 
@@ -93,9 +96,9 @@ OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 def token_features(token: str, gap: bool) -> list[str]:
     """Word-shape features of a token; gap: white space stands before it."""
     out = ["gap" if gap else "tight"]
-    if token.isdigit():
+    if token.isascii() and token.isdigit():
         n = len(token)
-        out.append(f"d{min(n, 20)}")
+        out += ["digits", f"d{min(n, 20)}"]
         if n <= 3 and int(token) <= 255:
             out.append("byte")
         if 13 <= n <= 19:
@@ -105,7 +108,7 @@ def token_features(token: str, gap: bool) -> list[str]:
         out.append(f"w:{low}" if low in WORDS else "word")
         out.append("Aa" if token.istitle() else "AA" if token.isupper() else "aa")
     else:
-        out.append(f"p:{token}" if token.isascii() else "p")
+        out += ["mark", "bracket" if token in "()[]{}<>" else "joint" if token in "-./_:+,|" else "other", f"p:{token}" if token.isascii() else "p"]
     return out
 
 
@@ -129,24 +132,29 @@ def training_table(seed: int = 7, copies: int = 4) -> list[tuple[str, list[tuple
     """The labelled table: (sentence, spans).  Built from templates; ``{}`` is the place of the value."""
     rng = random.Random(seed)
     forms = {
-        0: ["~.~@^.com", "~##@^.org", "~@^#.example.com", "~ [at] ^ [dot] com", "~ (at) ^.org", "~ at ^ dot com", "~.~ at ^ dot org", "~ @ ^ . com", "~[at]^[dot]net"],
-        1: ["=.=.=.=", "= . = . = . =", "=[.]=[.]=[.]="],
-        2: ["%", "% ", "%-", "%."],
-        3: ["+# (###) ###-####", "(###) ###-####", "###-###-####", "### ### ####", "###.###.####", "00## ## #######", "00## ### ### ####", "0### #######"],
+        0: ["~.~@^.com", "~##@^.org", "~@^#.example.com", "~ [at] ^ [dot] com", "~ (at) ^.org", "~ at ^ dot com", "~.~ at ^ dot org", "~ @ ^ . com", "~[at]^[dot]net", "~.~ [at] ^ [dot] org", "~_~ (at) ^ dot net", "~## [at] ^.net", "~-~ at ^ dot com"],
+        1: ["=.=.=.=", "= . = . = . =", "=[.]=[.]=[.]=", "= (dot) = (dot) = (dot) ="],
+        2: ["%", "% ", "%-", "%.", "%,", "%:"],
+        3: ["+# (###) ###-####", "(###) ###-####", "###-###-####", "### ### ####", "###.###.####", "00## ## #######", "00## ### ### ####", "0### #######", "(###) ### ####", "### ### ###", "0##-########", "## ## ## ## ##", "1 ### ### ####", "(0###) ######", "0### ### ###", "###-####-####", "0##/########"],
     }
     frames = {
-        0: ["Write to {} today", "{}", "contact {} for more", "the thing. {} and so on", "E-mail: {}", "mail {} or call", "word {} word"],
-        1: ["from {} at night", "server {} is down", "login from {}", "{} and the", "word {} word"],
-        2: ["card {} was used", "paid with {} today", "{} and", "Visa {}", "word {} word"],
-        3: ["call {} now", "Tel: {}", "phone {} or write", "{} the", "my number is {}", "word {} word", "Fax {}."],
+        0: ["Write to {} today", "{}", "contact {} for more", "the thing. {} and so on", "E-mail: {}", "mail {} or call", "word {} word", "(mail {})", "write to {}, or not", "it was {}; then"],
+        1: ["from {} at night", "server {} is down", "login from {}", "{} and the", "word {} word", "the host ({})", "from {}, then"],
+        2: ["card {} was used", "paid with {} today", "{} and", "Visa {}", "word {} word", "(card {})", "with {}, that is"],
+        3: ["call {} now", "Tel: {}", "phone {} or write", "{} the", "my number is {}", "word {} word", "Fax {}.", "(tel. {})", "it was {}, then", "under {} in the evening"],
     }
     plain = [
         "version #.#", "Version #.#.#", "in 20##", "on 20##-0#-1#", "1#/0#/20##", "page ###", "ISBN 978-#-##-######-#", "order ########", "costs #,### USD", "###.## EUR", "id ################",
         "room ### at the end", "CC BY-NC 4.0", "chapter # of ##", "################", "################ and", "total ## of ###", "a # b ## c ###", "meet at the dot", "he is at home", "arrived at noon and dot it",
         "at ^ street ##", "token = \"##a#b##c##d#e##f\"", "#a##b#", "score ##-##", "#### #### words", "## ## ##", "| ## | ### |", "look at this", "the @ sign", "@~ said", "###### ######", "#### - ####", "year #### to ####", "License, Version 2.0.", "version 3.",
     ]
+    noise = [
+        "ing### word%%% at%%% of$$$ the&&& word.**", "%%% at%%% only.&&", "### at, outi*** is.***", "and&&& at%%% the### word. is", "** at%%% long$$$ words*** re%%% in.&&&", "word at word. And the next", "he sat at the table. it was late",
+        "at%%%", "word.word at", "look at it. now", "a.&&& at b%%% c", "is%%% at the&&& end.###", "to at of. the", "one (at least) two. three", "meet at noon, dot com era", "$$$ at,&&& then***.", "it is at rest.", "@@@ word @ word", "!!! at ??? . ...", "at at at . at",
+    ]
     table = []
     for _ in range(copies):
+        table += [(frame.format(x), []) for x in noise for frame in ("{}", "many words come before {} and some more come after")]
         for kind, some in forms.items():
             for form in some:
                 for frame in frames[kind]:
@@ -166,41 +174,83 @@ class Crf:
     moves: np.ndarray  # labels x labels
     start: np.ndarray
 
-    def vectors(self, tokens: list[tuple[str, bool]]) -> np.ndarray:
-        """tokens x offsets x labels: what a token adds to the labels of its neighbours."""
-        out = np.zeros((len(tokens), len(OFFSETS), len(LABELS)), np.float32)
-        for k, t in enumerate(tokens):
-            at = [self.index[f] for f in token_features(*t) if f in self.index]
-            out[k] = self.weights[:, at].sum(1)
+    @cached_property
+    def lookup(self) -> _Classes:
+        return _Classes(self)
+
+    def scores(self, ids: np.ndarray) -> np.ndarray:
+        """tokens x labels: emissions of tokens given by class; pads (class 0) stand between sequences."""
+        n, out = len(ids), np.zeros((len(ids), len(LABELS)), np.float32)
+        vec = self.lookup.vec
+        for o, off in enumerate(OFFSETS):
+            # the token at t adds to the label at t - off
+            lo, hi = max(0, -off), min(n, n - off)
+            if hi > lo:
+                out[lo:hi] += vec[o][ids[lo + off : hi + off]]
         return out
 
-    def decode(self, sequences: list[list[tuple[str, bool]]]) -> list[np.ndarray]:
-        """Viterbi over batches of sequences of similar length."""
-        known: dict[tuple[str, bool], int] = {}
-        coded = [np.array([known.setdefault(t, len(known)) for t in s], np.int64) for s in sequences]
-        vec = self.vectors(list(known))
-        order = sorted(range(len(coded)), key=lambda k: len(coded[k]))
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(coded)
+    @cached_property
+    def bounds(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """What entering a label can gain at most over staying outside, within a sequence and at its start, and what leaving can."""
+        stay = self.moves[0, 0]
+        return (self.moves[:, 1:] - stay).max(0), self.start[1:] - self.start[0], max(0.0, float((self.moves[1:, 0] - stay).max()))
+
+    def unsure(self, ids: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Tokens that may be inside a span on a best path; all others are surely outside."""
+        inner, first, leave = self.bounds
+        pad = ids == 0
+        begins = np.append(True, pad[:-1])
+        gain = score[:, 1:] - score[:, :1]
+        most = (gain + inner).max(1).astype(np.float64)
+        most[begins] = (gain[begins] + first).max(1)
+        most[pad] = -1e4
+        total = np.cumsum(most)
+        left = total - np.minimum.accumulate(np.append(0.0, total[:-1]))  # best stretch that ends here
+        right = np.maximum.accumulate(total[::-1])[::-1] - np.append(0.0, total[:-1])  # best stretch that begins here
+        return (left + right - most + leave >= -0.01) & ~pad
+
+    def label(self, ids: np.ndarray, prune: bool = True) -> np.ndarray:
+        """Labels of the best path of each sequence.  ids: classes of tokens, with pads between sequences and at the end."""
+        out = np.zeros(len(ids), np.int8)
+        a = 0
+        held: list[tuple[int, np.ndarray, bool, bool]] = []
+        while a < len(ids):
+            z = min(len(ids), a + SCORED)
+            while z < len(ids) and ids[z - 1]:  # up to the end of a sequence
+                z += 1
+            part = ids[a:z]
+            score = self.scores(part)
+            live = self.unsure(part, score) if prune else part > 0
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], live.astype(np.int8), [0]])))
+            for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                held.append((a + lo, score[lo:hi].copy(), lo == 0 or part[lo - 1] == 0, hi == len(part) or part[hi] == 0))
+            a = z
+            if sum(len(h[1]) for h in held) > DECODE_TOKENS or a == len(ids):
+                for (at, *_), path in zip(held, self.decode([h[1:] for h in held])):
+                    out[at : at + len(path)] = path
+                held = []
+        return out
+
+    def decode(self, runs: list[tuple[np.ndarray, bool, bool]]) -> list[np.ndarray]:
+        """Viterbi over batches of runs of similar length: (emissions, whether a sequence begins with it, whether one ends)."""
+        order = sorted(range(len(runs)), key=lambda k: len(runs[k][0]))
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(runs)
         at = 0
         while at < len(order):
             end = at + 1
-            while end < len(order) and (end + 1 - at) * len(coded[order[end]]) <= DECODE_TOKENS:
+            while end < len(order) and (end + 1 - at) * len(runs[order[end]][0]) <= DECODE_TOKENS:
                 end += 1
             some = order[at:end]
             at = end
-            size = np.array([len(coded[k]) for k in some])
+            size = np.array([len(runs[k][0]) for k in some])
             most = int(size.max(initial=0))
             if not most:
                 continue
             score = np.zeros((len(some), most, len(LABELS)), np.float32)
             for r, k in enumerate(some):
-                s, n = coded[k], len(coded[k])
-                for o, off in enumerate(OFFSETS):
-                    # the token at t adds to the label at t - off
-                    lo, hi = max(0, -off), min(n, n - off)
-                    if hi > lo:
-                        score[r, lo:hi] += vec[s[lo + off : hi + off], o]
-            best = self.start + score[:, 0]
+                score[r, : size[r]] = runs[k][0]
+            best = np.where(np.array([runs[k][1] for k in some])[:, None], self.start, self.moves[0]) + score[:, 0]
+            close = np.where(np.array([runs[k][2] for k in some])[:, None], np.float32(0), self.moves[:, 0])
             back = np.zeros((len(some), most, len(LABELS)), np.int8)
             final = np.where((size == 1)[:, None], best, 0)
             for t in range(1, most):
@@ -208,7 +258,7 @@ class Crf:
                 back[:, t] = step.argmax(1)
                 best = step.max(1) + score[:, t]
                 final = np.where((size == t + 1)[:, None], best, final)
-            label = final.argmax(1)
+            label = (final + close).argmax(1)
             path = np.zeros((len(some), most), np.int64)
             for t in range(most - 1, -1, -1):
                 live = t < size
@@ -220,6 +270,28 @@ class Crf:
         return out
 
 
+class _Classes(dict):
+    """Classes of tokens (with the white space before them) by their features; class 0 is the pad.  ``vec``: offsets x classes x labels."""
+
+    def __init__(self, model: Crf):
+        self.model, self.known = model, {}
+        self.vec = np.zeros((len(OFFSETS), 1, len(LABELS)), np.float32)
+        self["\n"] = 0
+
+    def __missing__(self, spaced: str) -> int:
+        token = spaced.lstrip()
+        at = tuple(self.model.index[f] for f in token_features(token, token != spaced) if f in self.model.index)
+        k = self.known.get(at)
+        if k is None:
+            k = self.known[at] = self.vec.shape[1]
+            self.vec = np.concatenate([self.vec, self.model.weights[:, list(at)].sum(1)[:, None]], axis=1)
+        if len(self) > REMEMBERED:
+            self.clear()
+            self["\n"] = 0
+        self[spaced] = k
+        return k
+
+
 def _tokens(text: str) -> list[tuple[str, int, int]]:
     return [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
 
@@ -306,33 +378,14 @@ def default_model() -> Crf:
     return train_crf(training_table())
 
 
-def _windows(text: str) -> list[tuple[int, int]]:
-    """Neighbourhoods of triggers within their lines, merged."""
-    spots = [m.span() for m in _TRIGGER.finditer(text)]
-    low = text.lower()
-    if "dot" in low or "at]" in low or "at)" in low or "at }" in low or "at ]" in low or "at )" in low or "at}" in low:
-        spots = sorted(spots + [m.span() for m in _SPELT.finditer(text)])
-    out: list[list[int]] = []
-    for a, z in spots:
-        lo, hi = max(0, a - CONTEXT), min(len(text), z + CONTEXT)
-        lo = max(lo, text.rfind("\n", lo, a) + 1)
-        if (nl := text.find("\n", z, hi)) >= 0:
-            hi = nl
-        while lo > 0 and lo > a - 2 * CONTEXT and not text[lo - 1].isspace():
-            lo -= 1
-        while hi < len(text) and hi < z + 2 * CONTEXT and not text[hi].isspace():
-            hi += 1
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [tuple(x) for x in out]
+_SPELT = re.compile(r"[\w.%+-]+\s*(?:[\[({<]\s*at\s*[\])}>]|\bat\b|@)\s*[\w-]+(?:\s*(?:[\[({<]\s*dot\s*[\])}>]|\bdot\b|\.)\s*[\w-]+)+", re.I)
 
 
 def _plausible(kind: int, value: str) -> bool:
+    """Whether a span looks like its kind."""
     digits = sum(c.isdigit() for c in value)
     if kind == 0:
-        return "@" in value or bool(re.search(r"\bat\b", value, re.I) and re.search(r"\bdot\b|\.", value, re.I))
+        return len(value) <= 320 and _SPELT.fullmatch(value) is not None
     if kind == 1:
         parts = re.findall(r"[0-9]+", value)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -341,32 +394,50 @@ def _plausible(kind: int, value: str) -> bool:
     return 9 <= digits <= 15
 
 
-def find_spans(model: Crf, texts: list[str]) -> list[tuple[list, list]]:
-    """For each text its base spans and all its spans, as (kind, start, end)."""
+_PADS = ["\n"] * max(OFFSETS)
+
+
+def find_spans(model: Crf, texts: list[str], prune: bool = True) -> list[tuple[list, list]]:
+    """For each text its base spans and all its spans, as (kind, start, end).  ``prune``: whether to leave out tokens that are surely outside."""
     base = [base_spans(t) for t in texts]
-    jobs, sequences = [], []
+    tokens: list[str] = []
+    lines: list[tuple[int, int, str, int]] = []  # text, where the line begins, the line, its first token
     for k, text in enumerate(texts):
-        for lo, hi in _windows(text):
-            tokens = _tokens(text[lo:hi])
-            jobs.append((k, lo, tokens))
-            sequences.append(_sequence(tokens))
+        at = 0
+        for line in text.split("\n"):
+            if some := _SPACED.findall(line):
+                lines.append((k, at, line, len(tokens)))
+                some[0] = some[0].lstrip()
+                tokens += some
+                tokens += _PADS
+            at += len(line) + 1
     added: list[list] = [[] for _ in texts]
-    for (k, lo, tokens), path in zip(jobs, model.decode(sequences)):
-        t = 0
-        while t < len(path):
-            if path[t] == 0:
-                t += 1
-                continue
-            kind, end = (int(path[t]) - 1) // 2, t + 1
-            while end < len(path) and path[end] == 2 + 2 * kind:
-                end += 1
-            a, z = lo + tokens[t][1], lo + tokens[end - 1][2]
-            if _plausible(kind, texts[k][a:z]) and all(z <= s or a >= e for _, s, e in base[k]) and all(z <= s or a >= e for _, s, e in added[k]):
-                added[k].append((kind, a, z))
-            t = end
+    if tokens:
+        path = model.label(np.fromiter(map(model.lookup.__getitem__, tokens), np.int64, len(tokens)), prune)
+        inside = np.flatnonzero(path)
+        for n in np.unique(np.searchsorted([x[3] for x in lines], inside, side="right") - 1).tolist():
+            k, lo, line, first = lines[n]
+            _add_spans(added[k], base[k], lo, line, path[first:])
     return [(b, sorted(b + x)) for b, x in zip(base, added)]
 
 
+def _add_spans(added: list, base: list, lo: int, line: str, path: np.ndarray) -> None:
+    """The spans that the labels of a line say, where they look like their kind and meet no other."""
+    at = _tokens(line)
+    t = 0
+    while t < len(at):
+        if path[t] == 0:
+            t += 1
+            continue
+        kind, end = (int(path[t]) - 1) // 2, t + 1
+        while end < len(at) and path[end] == 2 + 2 * kind:
+            end += 1
+        a, z = at[t][1], at[end - 1][2]
+        if _plausible(kind, line[a:z]) and all(lo + z <= s or lo + a >= e for _, s, e in base) and all(lo + z <= s or lo + a >= e for _, s, e in added):
+            added.append((kind, lo + a, lo + z))
+        t = end
+
+
 OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
 OUT_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 

@@ -1,6 +1,7 @@
 """Quality, personal data, language, benchmark leaks: held-out accuracy and brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -73,6 +74,121 @@ def test_random_field():
     assert P.find_spans(m, ["a" * 50_000 + "@", "1." * 3000, ""])[2] == ([], [])
 
 
+def _viterbi_by_enumeration(model, spaced):
+    """The best labels of a short sequence, by all of them."""
+    score = model.scores(np.array([model.lookup[t] for t in spaced] + [0]))[:-1]
+    best = None
+    for path in itertools.product(range(len(P.LABELS)), repeat=len(spaced)):
+        total = model.start[path[0]] + sum(score[t, x] for t, x in enumerate(path)) + sum(model.moves[x, y] for x, y in zip(path, path[1:]))
+        if best is None or total > best[0] + 1e-4:
+            best = (total, path)
+    return best
+
+
+def test_viterbi_against_enumeration():
+    m = P.default_model()
+    for text in ("a@b.c", "0221 4567", "at x dot", "1.2.3", "jo at web", "(415)", "tel 555 01"):
+        tokens = P._SPACED.findall(text)[:5]
+        total, path = _viterbi_by_enumeration(m, tokens)
+        ids = np.array([m.lookup[t] for t in tokens] + [0] * 3)
+        for prune in (False, True):
+            got = m.label(ids, prune)[: len(tokens)].tolist()
+            score = m.scores(ids)
+            mine = m.start[got[0]] + sum(score[t, x] for t, x in enumerate(got)) + sum(m.moves[x, y] for x, y in zip(got, got[1:]))
+            assert abs(mine - total) < 1e-3, text
+
+
+def test_pruned_decoding_is_whole_decoding(spark):
+    """Leaving out the tokens that are surely outside changes nothing: random texts, the tables' texts, random models."""
+    rng = random.Random(4)
+    m = P.default_model()
+    words = ["at", "dot", "call", "jo", "[", "]", "(", ")", "555", "0132", "1", ".", "@", "-", "mail", "the", "\n", "+", "192", "²", "٣"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(60))).replace(" . ", rng.choice([".", " . "])) for _ in range(600)]
+    texts += [r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    assert P.find_spans(m, texts) == P.find_spans(m, texts, prune=False)
+    noise = np.random.default_rng(3)
+    for scale in (0.2, 1.0, 3.0):
+        odd = P.Crf(m.index, noise.normal(0, scale, m.weights.shape).astype(np.float32), noise.normal(0, scale, m.moves.shape).astype(np.float32), noise.normal(0, scale, m.start.shape).astype(np.float32))
+        ids = np.concatenate([np.append([odd.lookup[t] for t in P._SPACED.findall(x)], [0] * 3) for x in texts[:200]]).astype(np.int64)
+        assert np.array_equal(odd.label(ids), odd.label(ids, prune=False))
+
+
+def held_out_table(seed=99, copies=20):
+    """Sentences of forms and frames that the training templates don't have."""
+    rng = random.Random(seed)
+    forms = {0: ["~ AT ^ DOT com", "~_~ at ^ dot net", "~{at}^{dot}org", "~.~ [at] ^.com", "~ (at) ^ (dot) org", "~## at ^ dot com"],
+             1: ["=[dot]=[dot]=[dot]=", "= [.] = [.] = [.] =", "=(.)=(.)=(.)="],
+             2: ["%/", "%_"],
+             3: ["(0##) #### ####", "### #### ####", "0## ### ## ##", "1-###-###-####", "### / ### ####", "###-### ####", "(###)###-####"]}
+    frames = ["Reach me under {} if needed", "({})", "my old one was {}, it does not work", "see {}, thanks", "Please note: {}"]
+    plain = ["on 0#.1#.20## at noon", "pp. ###-###", "vol. ##, no. #", "## x ## cm", "#:## to ##:##", "EUR #.###,##", "room #.##", "ISBN ##########", "the ##th of May, 19##", "build ####.##.#", "# # # # # # # # #", "at ^ . com was new", "he was at ~ , the dot", "####/####", "§ ## and § ###", "score #-#, #-#", "0.#### and 1.####", "see [##] and [##]", "lines ###, ### and ###"]
+    rows = []
+    for _ in range(copies):
+        for kind, some in forms.items():
+            for form in some:
+                for frame in frames:
+                    v = P._card(rng, form[1:]) if form[0] == "%" else P._fill(rng, form)
+                    a = frame.index("{}")
+                    rows.append((frame.format(v) if "{at}" not in v else frame[:a] + v + frame[a+2:], [(kind, a, a + len(v))]))
+        for form in plain:
+            for frame in frames:
+                rows.append((frame.format(P._fill(rng, form)), []))
+    return rows
+
+
+def test_random_field_on_held_out_forms():
+    rows = held_out_table()
+    got = P.find_spans(P.default_model(), [t for t, _ in rows])
+    want = sum(len(w) for _, w in rows)
+    hit = sum(x in spans for (_, w), (_, spans) in zip(rows, got) for x in w)
+    found = sum(len(spans) for _, spans in got)
+    assert hit / want > 0.7 and hit / found > 0.9
+
+
+def test_pii_rows(spark):
+    """Planted spans through the table: counts, digest and places, with a repeated row, clashing names and a very long line."""
+    rows = [
+        (1, "mail jo.1@mail.example.com or +1 (788) 555-2942 now"), (2, None), (3, ""), (4, "from 10.0.0.255 and 10.0.0.256, card 4111 1111 1111 1111"), (4, "from 10.0.0.255 and 10.0.0.256, card 4111 1111 1111 1111"),
+        (5, "word " * 200_000 + "please phone (415) 555-0132 tomorrow"), (6, "é" * 10 + " reach bob [at] gmail [dot] com ok\nlogin from 8.8.8.8"), (None, "a@b.cd"),
+    ]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, spans string, n_email int")
+    got = sorted(((str(r["doc_id"]), r["base_sha256"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["spans"], r["n_added"]) for r in P.find_pii(df).collect()))
+    want = []
+    for d, t in rows:
+        base = _brute(t or "")
+        extra = {5: [(3, 1_000_013, 1_000_027)], 6: [(0, 17, 41)]}.get(d, [])
+        want.append((str(d), hashlib.sha256(P.written(base).encode()).hexdigest(), *(sum(k == j for k, *_ in base) for j in range(4)), P.written(sorted(base + extra)), len(extra)))
+    assert got == sorted(want)
+
+
+def _margin_by_hand(m, x):
+    """The score's sum, entry by entry."""
+    out = m.intercept
+    for j, (cuts, table) in enumerate(zip(m.cuts, m.tables)):
+        out += table[sum(x[j] >= c for c in cuts)]
+    for (i, j), table in zip(m.pairs, m.pair_tables):
+        out += table[sum(x[i] >= c for c in m.pair_cuts[i])][sum(x[j] >= c for c in m.pair_cuts[j])]
+    return out
+
+
+def test_quality_against_a_plain_scorer(spark):
+    """The query's scores, from the model fitted to the same rows, entry by entry for each text."""
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    labels = [r for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["quality"] in (0, 1) and r["doc_id"] in docs]
+    rows = sorted((r["doc_id"], float(r["quality"]), *Q.features(docs[r["doc_id"]])) for r in labels)
+    m = Q.fit(np.array([r[2:] for r in rows]), np.array([r[1] for r in rows]))
+    got = {r["doc_id"]: r["score"] for r in queries.op1_quality(spark, DATA).collect()}
+    assert len(got) == len(docs)
+    for d, raw in docs.items():
+        assert abs(got[d] - 1 / (1 + np.exp(-np.clip(_margin_by_hand(m, Q.features(raw)), -30, 30)))) < 1e-6
+
+
+def test_quality_of_a_very_long_text(spark, docs):
+    long = spark.createDataFrame([(1, "good words in a row. " * 300_000), (2, "x" * 1_000_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert {r["doc_id"]: 0 <= r["score"] <= 1 for r in Q.quality_scores(long, labels).collect()} == {1: True, 2: True}
+
+
 def test_language(spark):
     got = {r["doc_id"]: r for r in queries.op4_language_id(spark, DATA).collect()}
     docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
