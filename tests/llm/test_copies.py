@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -133,6 +134,31 @@ def test_components(spark):
     assert all(got.get(x, x) == r for x, r in root.items())
 
 
+def test_components_of_a_star(spark):
+    """A hub with a million neighbours."""
+    hub = spark.range(1, 1_000_001).selectExpr("id AS u", "0L AS v").unionByName(spark.createDataFrame([(2_000_000, 1), (3_000_001, 3_000_000)], "u long, v long"))
+    got = components(hub.repartition(4)).groupBy("root").count().collect()
+    assert {(r["root"], r["count"]) for r in got} == {(0, 1_000_001), (3_000_000, 1)}
+
+
+def test_simhash_without_ids(spark):
+    """A fingerprint that only rows without an id have links like any other."""
+    long = " ".join(f"w{k}" for k in range(400))
+    got = {(r["doc_id"], r["component_id"]) for r in S.simhash_dedup(spark.createDataFrame([(7, long), (None, long + " x"), (None, "quite another text of its own")], "doc_id long, text string")).collect()}
+    near = (_fingerprint(long) ^ _fingerprint(long + " x")).bit_count() <= 2
+    assert got == {(7, 7), (None, 7), (None, None)} if near else {(7, 7), (None, None)}
+
+
+def test_very_long_texts(spark):
+    """Two million characters, beside a copy and a short text: exact copies and SimHash."""
+    rng = random.Random(4)
+    long = " ".join(rng.choices(["river", "stone", "paper", "light"], k=400_000))
+    df = spark.createDataFrame([(1, long), (2, long + " "), (3, long.replace(" ", "  ", 1)), (4, "short")], "doc_id long, text string")
+    assert {(r["doc_id"], r["keep_id"]) for r in D.exact_dedup(df).collect()} == {(1, 1), (2, 2), (3, 1), (4, 4)}
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in S.simhash_dedup(df).collect()}
+    assert got[1] == got[2] == got[3] and got[1][1] == 1 and got[4][1] == 4
+
+
 def _brute(texts, length=400):
     raws = [(t or "").encode() for t in texts]
     seen = defaultdict(int)
@@ -158,6 +184,33 @@ def test_substrings(docs, rows, monkeypatch):
         assert got == want
 
 
+def test_substrings_of_repeated_rows(spark):
+    """500 equal rows (also without an id) end in seconds: the work grows with their number."""
+    rng = random.Random(7)
+    long = "".join(rng.choices("abcdefgh \n", k=18_000))
+    rows = [(1, long)] * 500 + [(None, long[:900])] * 20 + [(2, "x" + long[5000:5600] + "y"), (3, "short"), (3, "short"), (4, "other " * 60)]
+    began = time.time()
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in R.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert time.time() - began < 60
+    some = [rows[0], rows[1], *rows[500:502], *rows[520:]]
+    want = {(str(d), *x) for (d, _), x in zip(some, _brute([t for _, t in some]))}
+    assert len(got) == len(rows) and set(got) == want
+
+
+def test_substrings_across_pieces(spark, monkeypatch):
+    """Texts of many pieces."""
+    monkeypatch.setattr(R, "PIECE", 700)
+    rng = random.Random(8)
+    base = "".join(rng.choices("abcd ", k=6000))
+    raws = [base, base[1000:4500] + "z" + base[:600], "q" * 5000]
+    for r in raws:
+        whole = sorted(zip(*(x.tolist() for x in R.gram_runs(r.encode()))))
+        monkeypatch.setattr(R, "PIECE", 1 << 19)
+        places = lambda runs: sorted((s + k, key) for key, s, n in runs for k in range(n))
+        assert places(whole) == places(zip(*(x.tolist() for x in R.gram_runs(r.encode()))))
+        monkeypatch.setattr(R, "PIECE", 700)
+
+
 def test_substrings_empty(none):
     assert R.substring_dedup(none).count() == 0
 

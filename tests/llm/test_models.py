@@ -2,8 +2,11 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -311,6 +314,28 @@ def test_decontamination(spark):
     assert B.decontaminate(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_in_pieces_and_slices(monkeypatch):
+    """Cutting texts and hits into pieces, and counting dense q-grams per band, changes nothing."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("ab", k=3000)) for _ in range(12)] + ["a" * 900 + "b" * 900, "ab" * 800, "aaab" * 400, None, ""]
+    items = [(i, "".join(rng.choices("ab", k=rng.randrange(20, 200)))) for i in range(12)] + [(50, "a" * 100), (51, "ab" * 60), (52, texts[0][950:1150]), (53, "ab"), (50, "b" * 50)]
+    index = B.QGramIndex(items)
+    want = sorted(index.find(texts))
+    assert {(0, 52), (12, 50), (13, 51)} <= {x[:2] for x in want}
+    for dense in (100, 1 << 40):
+        for name, value in (("CHUNK", 500), ("GROUP", 2000), ("SLICE", 1000), ("DENSE", dense), ("CELLS", 5000)):
+            monkeypatch.setattr(B, name, value)
+        assert sorted(index.find(texts)) == want
+
+
+def test_one_letter_in_bounded_memory():
+    """A million equal letters against an item of 400: less than 500 MB for the whole process, as its own process."""
+    code = "import resource\nfrom contrasto.llm import decontaminate as B\nr = B.QGramIndex([(1, 'a' * 400), (2, 'ab' * 100)]).find(['a' * 1_000_000])\nprint(r, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))).stdout
+    found, mb = out.rsplit(" ", 1)
+    assert found == "[(0, 1, 0, 400, 400)]" and int(mb) < 500
+
+
 def test_leaks_in_data(spark):
     found = {(r["doc_id"], r["item_id"]) for r in queries.op3_decontaminate(spark, DATA).collect()}
     texts = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()

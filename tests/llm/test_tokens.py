@@ -241,6 +241,72 @@ def test_pipeline(spark, tmp_path, library, rows):
     _check_packing(P.run(spark, str(tmp_path)).collect(), clean, library)
 
 
+def test_pipeline_numbers_rows_once(spark, tmp_path, monkeypatch):
+    """Another split of the input between the two scans of a stage removes the same rows."""
+    import corpus_pipeline as P
+
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(60)) for _ in range(40)]
+    rows = [(k, rng.choice(texts), "en", "s", 0) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {min(k for k, t, *_ in rows if t == x) for x in {t for _, t, *_ in rows}}
+    key, real = "spark.sql.files.maxPartitionBytes", P.exact_dedup
+    old = spark.conf.get(key)
+
+    def other_splits(*args, **kwargs):
+        out = real(*args, **kwargs)
+        spark.conf.set(key, "2000")
+        return out
+
+    monkeypatch.setattr(P, "exact_dedup", other_splits)
+    real_groups = P.near_groups
+    monkeypatch.setattr(P, "near_groups", lambda *a: (lambda out: (spark.conf.set(key, "3000"), out)[1])(real_groups(*a)))
+    try:
+        docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+        for stage in (P.exact, P.near):
+            spark.conf.set(key, old)
+            assert {r["doc_id"] for r in stage(spark, docs, str(tmp_path)).collect()} == want
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """An empty table, and rows of nulls, blanks and clashing names, stage by stage."""
+    import corpus_pipeline as P
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row_number_ int, NODE string, found_language int"
+    spark.createDataFrame([(1, "a passage that no text has but it is long enough")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    none = spark.createDataFrame([], kind)
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, none, str(tmp_path))
+        assert out.columns == none.columns and out.count() == 0
+    assert P.packing(spark, none, str(tmp_path)).count() == 0
+    rows = [(None, None), (None, None), (1, ""), (2, " \n"), (3, "the same words"), (3, "the same words"), (None, "the same words"), (4, "the  same words"), (5, "é " * 50_000)]
+    odd = spark.createDataFrame([(d, t, None, None, None, 1, "n", 2) for d, t in rows], kind)
+    kept = {name: sorted((str(r["doc_id"]), r["text"] or "") for r in stage(spark, odd, str(tmp_path)).collect()) for name, stage in P.STAGES[:-1]}
+    assert kept["language"] == sorted((str(d), t) for d, t in rows if t and t.strip())
+    assert kept["exact"] == sorted([("3", "the same words"), ("1", ""), ("2", " \n"), ("5", "é " * 50_000)])
+    assert [d for d, _ in kept["near"]] == ["1", "3", "5"]
+    assert len(kept["benchmark"]) == len(rows)
+    assert {r["doc_id"] for r in P.packing(spark, odd, str(tmp_path)).collect()} == {None, 1, 2, 3, 4, 5}
+
+
+def test_packing_of_a_very_long_text(spark, library):
+    text = "many words here and there " * 60_000
+    _check_packing(K.pack(spark.createDataFrame([(1, text), (2, None), (3, text)], "doc_id long, text string")).collect(), [(1, text), (2, None), (3, text)], library)
+
+
+def test_files_of_a_very_long_text(spark, library, monkeypatch):
+    """More ids than a reader takes at a time, over many blocks."""
+    text = "many words here and there " * 250_000
+    got = {r["doc_id"]: r for r in F.token_files(spark.createDataFrame([(1, text), (2, "a"), (3, text[:1000])], "doc_id long, text string")).collect()}
+    at = 0
+    for d, t in ((1, text), (2, "a"), (3, text[:1000])):
+        ids = library(t)
+        assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
 def K_norm(t):
     import re
 
