@@ -51,6 +51,12 @@ KNOWN_PAIRS = """
         SELECT concat('o', CAST(o_orderkey AS STRING)) AS a, concat('o', CAST(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS STRING)) AS b, o_orderkey AS k FROM orders) p
     WHERE b IS NOT NULL AND b <> 'o' AND k % 3 = 0"""
 
+#: Known pairs and others: orders that follow one another whoever placed them, and pairs with a document that is nowhere.
+AUDIT_PAIRS = f"""
+    SELECT left_doc, right_doc FROM ({KNOWN_PAIRS}) k
+    UNION ALL SELECT least(a, b) AS left_doc, greatest(a, b) AS right_doc FROM (SELECT concat('o', CAST(o_orderkey AS STRING)) AS a, concat('o', CAST(lead(o_orderkey) OVER (ORDER BY o_orderkey) AS STRING)) AS b FROM orders) n WHERE b IS NOT NULL AND b <> 'o'
+    UNION ALL SELECT concat('o', CAST(o_orderkey AS STRING)) AS left_doc, concat('x', CAST(o_orderkey AS STRING)) AS right_doc FROM orders WHERE o_orderkey % 31 = 0"""
+
 #: Relations between a customer's consecutive orders, some judged twice.
 RELATIONS = """
     SELECT concat('pair-', doc_a_id, '-', doc_b_id) AS pair_id, doc_a_id, doc_b_id, CASE WHEN k % 23 = 0 THEN 'error' ELSE 'success' END AS status,

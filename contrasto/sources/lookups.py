@@ -89,3 +89,11 @@ def take_per_shard(rows: DataFrame, quota: dict[str, int], shard: str = "shard_i
     q = spark.createDataFrame(list(quota.items()) or [("", 0)], f"{shard} string, quota int")
     k = F.row_number().over(W.partitionBy(shard).orderBy(order))
     return rows.join(F.broadcast(q), shard).withColumn("k", k).where("k <= quota").drop("k", "quota")  # one row per shard
+
+
+def take_shard(rows: DataFrame, key: str, shard: int, shards: int) -> DataFrame:
+    """The rows of one of ``shards`` parts by a hash of their key, for a stage run part by part; every key lies in exactly one."""
+    if not 0 <= shard < shards:
+        raise ValueError(f"shard {shard} of {shards}")
+    place = F.conv(F.substring(F.sha1(F.col(key)), 1, 15), 16, 10).cast("long")
+    return rows.where(place % shards == shard)

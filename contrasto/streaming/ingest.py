@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from contrasto.sources import jsonl, store
+from contrasto.sources import store
 
 
-def ingest_stream(spark: SparkSession, folder: str, root: str, checkpoint: str) -> None:
-    """Files of ``folder`` not yet seen by ``checkpoint`` go to the store under ``root``; documents already there stay as they are."""
+def ingest_stream(spark: SparkSession, folder: str, root: str, checkpoint: str, files_at_a_time: int = 1000) -> None:
+    """Files of ``folder`` not yet seen by ``checkpoint`` go to the store under ``root`` and its ledger; documents already there stay as they are.
+
+    The stream only finds files; a batch of them is read like a batch ingestion, with strict lines in their order.  A batch that
+    runs again finds its shards in the ledger, so it adds nothing twice.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = jsonl.raw_documents(batch.withColumn("line", F.monotonically_increasing_id()))
-        have = store._read(spark, f"{root}/docs", store.STORE).select("canonical_doc_id")
-        fresh = store.first_rows(rows, ["file", "line"]).join(have, "canonical_doc_id", "left_anti")
-        # a batch that runs again finds its documents in the store, so it adds nothing twice
-        fresh.write.mode("append").parquet(f"{root}/docs")
-
-    lines = spark.readStream.schema(jsonl.RAW_DOCUMENT).option("mode", "FAILFAST").json(folder)
-    rows = lines.select(F.col("_metadata.file_path").alias("file"), *lines.columns)
-    query = rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        paths = sorted(r["path"] for r in batch.select("path").distinct().collect())  # at most files_at_a_time
+        if paths:
+            store.ingest(spark, paths, root)
+
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    found = spark.readStream.schema(kind).format("binaryFile").option("maxFilesPerTrigger", files_at_a_time).load(folder).select("path")
+    query = found.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
