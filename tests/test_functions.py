@@ -1,4 +1,5 @@
 import hashlib
+import json
 import math
 import random
 
@@ -112,7 +113,13 @@ def test_web(spark):
     p = one(spark, web.page_text("h"), h="<title>A  B</title><p>x &amp; y</p><script>z</script><div>q</div>")
     assert p["title"] == "A B" and p["text"] == "A B x & y\nq"
     payload = '{"web": {"results": [{"url": "ftp://x"}, {"url": "http://a/", "title": "T &lt;"}, {"url": "http://a/"}, {"url": "https://b/", "description": " d  e"}]}}'
-    got = one(spark, web.search_results("p"), p=payload)
-    assert [(x["rank"], x["url"]) for x in got] == [(1, "http://a/"), (2, "https://b/")] and got[0]["title"] == "T <" and got[1]["snippet"] == "d e"
+    odd = ['{"web": {"results": ["text", 3, null, {"title": "no address"}, {"url": "https:///x"}, {"url": "http://user@host:80/a"}]}}', '{"web": []}', "no JSON", "[]", None]
+    payloads = spark.createDataFrame([(0, payload), *enumerate(odd, 1)], "q int, payload string")
+    got = sorted((r["q"], r["rank"], r["url"], r["title"], r["snippet"]) for r in web.search_results(payloads, ["q"]).collect())
+    assert got == [(0, 1, "http://a/", "T <", ""), (0, 2, "https://b/", "", "d e"), (1, 1, "http://user@host:80/a", "", "")]
+    many = spark.createDataFrame([(0, json.dumps({"web": {"results": [{"url": f"https://h/{k // 2}"} for k in range(30)]}}))], "q int, payload string")
+    assert [(r["rank"], r["url"]) for r in web.search_results(many, ["q"], limit=3).orderBy("rank").collect()] == [(k + 1, f"https://h/{k}") for k in range(3)]
+    hidden = web.read_page("<svg><p>no</svg></svg>yes<template>a<style>b</style>c</template> &copy; 1<br/>two<h2>three</h2><title>x<script>y</script>z")
+    assert hidden == {"title": "x z", "text": "yes © 1\ntwo three\nx z"}
     fake = lambda ip: lambda h, p: [(0, 0, 0, "", (ip, p))]
     assert web.is_public_url("https://a.example", fake("8.8.8.8")) and not web.is_public_url("http://a.example", fake("10.0.0.1")) and not web.is_public_url("file:///x", fake("8.8.8.8"))
