@@ -70,7 +70,7 @@ class Run:
     def _flat(self) -> DataFrame:
         made = self.load("anchors")
         both = ["dates", "numbers", "tokens", "source_domain"]
-        return made.withColumn("seq", F.monotonically_increasing_id()).select("doc_id", F.col("knowledge_point.key").alias("kp_key"), F.col("subject.norm").alias("subject"), "slot", "confidence", F.coalesce("subject.alias_scope", F.lit("all")).alias("alias_scope"), "seq", *both)
+        return made.withColumn("seq", F.col("place").cast("long")).select("doc_id", F.col("knowledge_point.key").alias("kp_key"), F.col("subject.norm").alias("subject"), "slot", "confidence", F.coalesce("subject.alias_scope", F.lit("all")).alias("alias_scope"), "seq", *both)
 
     def candidates(self) -> dict:
         conf = self.config(K.CandidateConfig)

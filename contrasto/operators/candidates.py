@@ -42,8 +42,8 @@ class CandidateConfig:
 
 
 def flat_anchors(anchors: DataFrame) -> DataFrame:
-    """Anchors of the preparation as flat rows; seq orders them by document, subject and slot."""
-    seq = F.monotonically_increasing_id()
+    """Anchors of the preparation as flat rows; seq is the place of an anchor among those of its document (by subject, then slot)."""
+    seq = F.col("place").cast("long")
     return anchors.select("doc_id", F.col("knowledge_point.key").alias("kp_key"), F.col("subject.norm").alias("subject"), "slot", "confidence", F.coalesce("subject.alias_scope", F.lit("all")).alias("alias_scope"), seq.alias("seq"))
 
 
@@ -197,13 +197,42 @@ SIGNALS = {"kp": "same_kp_subject_slot", "ner": "tner_cross_kp_entity"}
 
 
 def merge(contribs: DataFrame) -> DataFrame:
-    """One row per pair: all signals, subjects and slots; the best scores (a score of exactly 0 never counts)."""
+    """One row per pair: all signals and subjects, the slots of the knowledge-point route, and the best scores (a score of exactly 0 never counts).
+
+    ``retrieval_scores`` holds the whole score structs that are best by support and by conflict, null where none counts.
+    """
     signal = F.when(F.col("route") == "kp", SIGNALS["kp"]).otherwise(SIGNALS["ner"])
-    best = lambda k: F.max(F.when(F.col("scores")[k] != 0, F.col("scores")[k]))
-    return contribs.groupBy(T.pair_id("doc_a", "doc_b").alias("pair_id"), "doc_a", "doc_b").agg(
-        F.array_sort(F.collect_set(signal)).alias("retrieval_signals"), F.array_sort(F.collect_set("subject")).alias("subjects"), F.array_sort(F.collect_set("slot")).alias("slots"),
-        best("support_score").alias("best_support"), best("conflict_score").alias("best_conflict"), F.max("scores.token_jaccard").alias("token_jaccard"),
+    counted = lambda k: F.when(F.col("scores")[k] != 0, F.col("scores")[k])
+    best = [F.max_by(F.when(counted(f"{k}_score").isNotNull(), F.col("scores")), counted(f"{k}_score")).alias(f"best_{k}") for k in ("support", "conflict")]
+    made = contribs.groupBy(T.pair_id("doc_a", "doc_b").alias("pair_id"), "doc_a", "doc_b").agg(
+        F.array_sort(F.collect_set(signal)).alias("retrieval_signals"), F.array_sort(F.collect_set("subject")).alias("subjects"), F.array_sort(F.collect_set(F.when(F.col("route") == "kp", F.col("slot")))).alias("slots"),
+        *best, F.max("scores.token_jaccard").alias("token_jaccard"),
     )
+    whole = F.struct("best_support", "best_conflict").alias("retrieval_scores")
+    return made.select("pair_id", "doc_a", "doc_b", "retrieval_signals", "subjects", "slots", F.col("best_support.support_score").alias("best_support"), F.col("best_conflict.conflict_score").alias("best_conflict"), "token_jaccard", whole)
+
+
+def references(anchors: DataFrame) -> DataFrame:
+    """(doc_id, reference) of the preparation's anchors: what a candidate record says of a document.  Every anchor of a document has the same."""
+    cols = ["doc_id", "knowledge_point", "confidence", "evidence", "dates", "numbers", "source_domain"]
+    return anchors.groupBy("doc_id").agg(F.min_by(F.struct(*cols), "place").alias("reference"))
+
+
+def subject_structs(anchors: DataFrame) -> DataFrame:
+    """(doc_id, norm, subject) of the preparation's anchors, the last of equal names."""
+    return anchors.groupBy("doc_id", F.col("subject.norm").alias("norm")).agg(F.max_by("subject", "place").alias("subject"))
+
+
+def records(pairs: DataFrame, refs: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Merged pairs as whole records: both documents' references, the subjects as the left document has them, by name, and the best scores.
+
+    References join the final pairs only, so evidence never travels with candidates.
+    """
+    named = pairs.select("pair_id", "doc_a", F.explode("subjects").alias("norm")).join(subjects.withColumnRenamed("doc_id", "doc_a"), ["doc_a", "norm"])
+    named = named.groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("norm", "subject"))), lambda x: x["subject"]).alias("subjects"))
+    side = lambda s: refs.select(F.col("doc_id").alias(f"doc_{s}"), F.col("reference").alias(f"ref_{s}"))
+    out = pairs.drop("subjects").join(named, "pair_id", "left").join(side("a"), "doc_a").join(side("b"), "doc_b")
+    return out.select("pair_id", F.col("ref_a").alias("doc_a"), F.col("ref_b").alias("doc_b"), "retrieval_signals", "subjects", "slots", "retrieval_scores")
 
 
 def build_candidates(anchors: DataFrame, config: CandidateConfig = CandidateConfig()) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contrasto.functions import constants as C
 from contrasto.functions import text as T
+from contrasto.sources.tables import materialize
 
 RANK = {"failed": 0, "partial": 1, "complete": 2}
 
@@ -64,7 +65,8 @@ def oracle_curve(benchmark: DataFrame, results: DataFrame) -> DataFrame:
     per = results.groupBy("benchmark_id").agg(*[F.coalesce(b, F.lit(0)).alias(f"m{k}") for k, b in enumerate(best)]) if names else None
     items = benchmark.select("benchmark_id").distinct()
     if per is not None:
-        items = items.join(per, "benchmark_id", "left").fillna(0).cache()
+        # written, as each step reads it; a cache would go with its executors
+        items = materialize(items.join(per, "benchmark_id", "left").fillna(0), "curve")
     curve, chosen, left = [], [], list(range(len(names)))
     while left:
         tops = [F.greatest(F.lit(0), F.lit(0), *[F.col(f"m{j}") for j in [*chosen, k]]) for k in left]
@@ -74,8 +76,6 @@ def oracle_curve(benchmark: DataFrame, results: DataFrame) -> DataFrame:
         n, partial = counts[0], counts[2 + 2 * i]
         chosen.append(left.pop(i))
         curve.append((len(chosen), names[chosen[-1]], n, complete / n if n else 0.0, partial / n if n else 0.0, (n - complete - partial) / n if n else 0.0, complete / (complete + partial) if complete + partial else 0.0))
-    if per is not None:
-        items.unpersist()
     return spark.createDataFrame(curve, "models int, added string, n long, c_rate double, p_rate double, f_rate double, k_rate double")
 
 

@@ -67,8 +67,11 @@ def anchors(rows: DataFrame, domains: DataFrame | None = None, config: Preparati
     else:
         good = good.withColumn("source_domain", F.lit(""))
     good = good.withColumn("source_domain", F.coalesce("source_domain", F.lit("")))
-    one = good.withColumn("subject", F.explode("subjects")).withColumn("subject", F.explode(E.subject_variants("subject", config.subject_aliases)))
-    return one.withColumn("slot", F.explode("slots")).select("doc_id", "knowledge_point", "confidence", "subject", "slot", "evidence", "dates", "numbers", "tokens", "source_domain")
+    one = good.select("*", F.posexplode("subjects").alias("i", "main")).select("*", F.posexplode(E.subject_variants("main", config.subject_aliases)).alias("j", "subject"))
+    one = one.select("*", F.posexplode("slots").alias("k", "slot"))
+    # the place of an anchor among those of its document; later steps break ties by it
+    place = (F.col("i") * 1000 + F.col("j")) * 1000 + F.col("k")
+    return one.select("doc_id", "knowledge_point", "confidence", "subject", "slot", "evidence", "dates", "numbers", "tokens", "source_domain", place.alias("place"))
 
 
 def manifest(rows: DataFrame, made: DataFrame) -> DataFrame:

@@ -29,8 +29,8 @@ def blocked(anchors: DataFrame, known: DataFrame) -> DataFrame:
     """Known pairs whose documents share a bucket of a route (across knowledge points on ``ner``)."""
     m = K.members(K.routes(anchors)).select(*K.BUCKET, "doc_id", "kp_key")
     l = m.select(*K.BUCKET, F.col("doc_id").alias("left"), F.col("kp_key").alias("lk"))
-    r = m.select(*[F.col(c).alias(f"r_{c}") for c in K.BUCKET], F.col("doc_id").alias("right"), F.col("kp_key").alias("rk"))
-    both = known.join(l, "left").join(r, "right").where(" and ".join(f"{c} = r_{c}" for c in K.BUCKET))
+    r = m.select(*K.BUCKET, F.col("doc_id").alias("right"), F.col("kp_key").alias("rk"))
+    both = known.join(l, "left").join(r, ["right", *K.BUCKET])
     return both.where("route = 'kp' or lk <> rk").select("left", "right", "route").distinct()
 
 
