@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from contrasto.functions import constants as C
 from contrasto.functions import entities as E
 from contrasto.functions import text as T
+from contrasto.sources.tables import materialize
 
 
 def word_tokens(docs: DataFrame, key: str, words_at_a_time: int = 200_000) -> DataFrame:
@@ -81,11 +83,11 @@ def aggregate_mentions(mentions: DataFrame, keys: list[str], most: int = 64, mos
     return one.withColumn("k", k).where(F.col("k") <= most).select(*keys, F.col("f")[0]["t"].alias("text"), "norm", "label", "count", "first_start", F.col("f.t").alias("surface_forms"))
 
 
-def token_chunks(text: str, most_tokens: int = 510, overlap_chars: int = 100, most_chars: int = 0, pattern: str = r"\w+|[^\w\s]") -> list[tuple[int, str]]:
+def token_chunks(text: str, most_tokens: int = 510, overlap_chars: int = 100, most_chars: int = 0, pattern: str = r"\w+|[^\w\s]", spans: Callable[[str], list[tuple[int, int]]] | None = None) -> list[tuple[int, str]]:
     """Overlapping windows of a text, each of at most ``most_tokens`` tokens; a window begins where the one before has ``overlap_chars`` left."""
     if most_chars > 0:
         text = text[:most_chars]
-    spans = [m.span() for m in re.finditer(pattern, text)]
+    spans = spans(text) if spans else [m.span() for m in re.finditer(pattern, text)]
     if not spans:
         return [(0, text)] if text.strip() else []
     out, at = [], 0
@@ -99,15 +101,95 @@ def token_chunks(text: str, most_tokens: int = 510, overlap_chars: int = 100, mo
     return out
 
 
-def chunk_documents(docs: DataFrame, most_tokens: int = 510, overlap_chars: int = 100) -> DataFrame:
-    """(document_id, chunk_start, chunk_text) of documents' windows."""
+def tokenizer_spans(path: str) -> Callable[[str], list[tuple[int, int]]]:
+    """Places of tokens by a tokenizer's file; tokens without characters (special ones) are left out."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return lambda text: [s for s in tokenizer.encode(text, add_special_tokens=False).offsets if s[1] > s[0]]
+
+
+@lru_cache(4)
+def _spans_of(path: str) -> Callable[[str], list[tuple[int, int]]]:
+    return tokenizer_spans(path)
+
+
+def chunk_documents(docs: DataFrame, most_tokens: int = 510, overlap_chars: int = 100, tokenizer: str = "") -> DataFrame:
+    """(document_id, chunk_start, chunk_text) of documents' windows.  ``tokenizer`` is the file of a model's tokenizer; without one words and marks are tokens."""
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([[{"chunk_start": a, "chunk_text": t} for a, t in token_chunks(x or "", most_tokens, overlap_chars)] for x in s], dtype=object)
+        spans = _spans_of(tokenizer) if tokenizer else None
+        return pd.Series([[{"chunk_start": a, "chunk_text": t} for a, t in token_chunks(x or "", most_tokens, overlap_chars, spans=spans)] for x in s], dtype=object)
 
     made = F.pandas_udf(run, "array<struct<chunk_start:long,chunk_text:string>>")("text")
     return docs.select("document_id", F.inline(made))
 
 
+LABELLED = "document_id string, chunk_start long, start int, end int, label string"
+
+
+def label_windows(windows: DataFrame, labeller: Callable[[], Callable[[list[str]], list[list[tuple[int, int, str]]]]], batch_size: int = 256) -> DataFrame:
+    """Token labels of windows (document_id, chunk_start, chunk_text), as ``decode_mentions`` reads them.
+
+    ``labeller`` makes a model once a task; it takes a batch of texts and returns for each its tokens as (start, end, label).
+    Texts of similar length go together, so that little is padded; a batch holds at most ``batch_size`` windows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = labeller()
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+        for b in batches:
+            rows = sorted(zip(*(b.column(c).to_pylist() for c in ("document_id", "chunk_start", "chunk_text"))), key=lambda r: len(r[2]))
+            for at in range(0, len(rows), batch_size):
+                some = rows[at : at + batch_size]
+                out = [(d, c, s, e, label) for (d, c, t), tokens in zip(some, model([t for *_, t in some])) for s, e, label in tokens]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["document_id", "chunk_start", "start", "end", "label"])
+
+    return windows.select("document_id", "chunk_start", "chunk_text").mapInArrow(run, LABELLED)
+
+
+def onnx_labeller(model: str, tokenizer: str, labels: list[str]) -> Callable[[], Callable[[list[str]], list[list[tuple[int, int, str]]]]]:
+    """A labeller from files of an ONNX token classifier (inputs input_ids and attention_mask, output scores) and its tokenizer."""
+
+    def make():
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        session, encode = onnxruntime.InferenceSession(model, providers=["CPUExecutionProvider"]), Tokenizer.from_file(tokenizer)
+        wanted = {i.name for i in session.get_inputs()}
+
+        def run(texts: list[str]) -> list[list[tuple[int, int, str]]]:
+            found = [encode.encode(t) for t in texts]
+            wide = max((len(f.ids) for f in found), default=0)
+            ids, mask = np.zeros((len(found), wide), np.int64), np.zeros((len(found), wide), np.int64)
+            for k, f in enumerate(found):
+                ids[k, : len(f.ids)], mask[k, : len(f.ids)] = f.ids, 1
+            feed = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+            best = session.run(None, {k: v for k, v in feed.items() if k in wanted})[0].argmax(-1)
+            return [[(s, e, labels[best[k, i]]) for i, (s, e) in enumerate(f.offsets) if e > s] for k, f in enumerate(found)]
+
+        return run
+
+    return make
+
+
+def tag_entities(docs: DataFrame, labeller, allowed: list[str] | None = None, most_tokens: int = 510, overlap_chars: int = 100, tokenizer: str = "", batch_size: int = 256) -> DataFrame:
+    """(document_id, entities) of documents (document_id, text): windows, labels, spans, and the most frequent entities.  A document without any has an empty list.
+
+    Mentions that two overlapping windows find count once.
+    """
+    # written, as labels and spans both read the windows
+    windows = materialize(chunk_documents(docs, most_tokens, overlap_chars, tokenizer), "windows")
+    tokens = label_windows(windows, labeller, batch_size)
+    # windows are decoded apart; their texts meet the spans they hold, not each token
+    texts = windows.select("document_id", F.col("chunk_start").alias("window"), F.col("chunk_text").alias("text"))
+    found = decode_mentions(tokens.withColumn("window", F.col("chunk_start")), ["document_id", "window"], allowed, texts)
+    found = found.drop("window").dropDuplicates(["document_id", "label", "norm", "start", "end"])
+    kinds = F.struct("text", "norm", "label", F.col("count").cast("int").alias("count"), F.col("first_start").cast("int").alias("first_start"), "surface_forms")
+    lists = aggregate_mentions(found, ["document_id"]).groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("c"), "first_start", "norm", kinds.alias("e")))).alias("l"))
+    return docs.select("document_id").join(lists, "document_id", "left").select("document_id", F.coalesce(F.col("l.e"), F.array()).alias("entities"))
+
+
 def sentences(x: str | Column, most_chars: int = 1200) -> Column:
     """array<struct<n, sentence>>: sentences numbered from 1 over the whole text; overlong ones are cut, cuts that are blank leave gaps."""
     text = F.regexp_replace(F.coalesce(T.col(x), F.lit("")), "\r\n|\r", "\n")

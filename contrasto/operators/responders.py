@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contrasto.sources.tables import materialize
+
 Responder = Callable[[DataFrame], DataFrame]
 ANSWER = "key string, response string, error string, attempts int"
 # ---- fixed values: statuses worth another attempt
@@ -60,7 +62,10 @@ def http_responder(url: str, model: str | None = None, system: str = "", headers
         for k in range(retries + 1):
             try:
                 with send(request, timeout=timeout) as reply:
-                    return message_text(json.load(reply)["choices"][0]["message"]), None, k + 1
+                    choice = json.load(reply)["choices"][0]
+                    if choice.get("finish_reason") not in (None, "stop"):
+                        raise ValueError(f"the answer ended by {choice['finish_reason']}")
+                    return message_text(choice["message"]), None, k + 1
             except urllib.error.HTTPError as e:
                 error, again = f"HTTP {e.code}", e.code in RETRY
             except (OSError, ValueError, KeyError, IndexError) as e:
@@ -83,15 +88,17 @@ def run_stage(tasks: DataFrame, responder: Responder, parse: Callable[[Column],
     """tasks: key, prompt and what ``check`` reads.  Rows: key, status, value, errors, rounds.
 
     ``parse`` makes the value from a response (null if it can't), ``check`` an array of errors from the columns of
-    tasks and value.  Rows with errors are asked again with these, ``retries`` times.
+    tasks and value.  Rows with errors are asked again with these, ``retries`` times.  The rows of a round are written before
+    they are read, so a model is asked once for each prompt however often its answer is used.
     """
     done: DataFrame | None = None
     todo = tasks.withColumn("attempt", F.lit(1))
     for k in range(1, retries + 2):
         got = responder(todo.select("key", "prompt", "attempt")).select("key", F.col("response").alias("_r"), F.col("error").alias("_e"))
+        got = materialize(got, "answers")
         rows = todo.join(got, "key", "left").withColumn("value", parse(F.col("_r")))
         errors = F.when(F.col("_e").isNotNull(), F.array("_e")).when(F.col("value").isNull(), F.array(F.lit("not a JSON object"))).otherwise(check(rows))
-        rows = rows.withColumn("errors", errors).withColumn("status", F.when(F.size("errors") == 0, "success").otherwise("error")).withColumn("rounds", F.lit(k))
+        rows = materialize(rows.withColumn("errors", errors).withColumn("status", F.when(F.size("errors") == 0, "success").otherwise("error")).withColumn("rounds", F.lit(k)), "round")
         final = rows if k > retries else rows.where("status = 'success'")
         final = final.select("key", "status", "value", "errors", "rounds")
         done = final if done is None else done.unionByName(final)
