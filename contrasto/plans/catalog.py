@@ -5,9 +5,7 @@ Column types agree on both sides: strings, bigint, double (rounded) and boolean;
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrasto.functions import constants as C
@@ -15,35 +13,10 @@ from contrasto.functions import entities as E
 from contrasto.functions import text as T
 from contrasto.operators import candidates as K
 from contrasto.operators import evaluation, export, mentions, prepare, recall, relations, responders, validators, web
+from contrasto.plans.registry import ORACLE_SQL, QUERIES, joined, query, quoted, table
 from contrasto.sources import adapters as A
 from contrasto.sources import jsonl, lookups, store
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def joined(c, sep: str = "|"):
-    return F.array_join(c, sep)
-
-
-def quoted(values) -> str:
-    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
-
-
 # ---- sources, identifiers, text functions
 
 
@@ -71,13 +44,12 @@ def s8_shard_ledger(spark, sf_dir):
     return store.ledger(d, "source")
 
 
-@query(f"SELECT count(DISTINCT left_doc || ' ' || right_doc) AS pairs, min(left_doc) AS first_doc, max(right_doc) AS last_doc FROM ({A.KNOWN_PAIRS}) k")
+@query(f"SELECT DISTINCT left_doc, right_doc FROM ({A.KNOWN_PAIRS}) k")
 def s17_known_pairs(spark, sf_dir):
     k = A.select(spark, sf_dir, A.KNOWN_PAIRS)
     # both directions and an aliased shape, to be made one again
     both = k.select(F.col("right_doc").alias("src_doc_id"), F.col("left_doc").alias("dst_doc_id")).unionByName(k.select(F.col("left_doc").alias("src_doc_id"), F.col("right_doc").alias("dst_doc_id")))
-    p = lookups.known_pairs(both)
-    return p.agg(F.count("*").alias("pairs"), F.min("left").alias("first_doc"), F.max("right").alias("last_doc"))
+    return lookups.known_pairs(both).select(F.col("left").alias("left_doc"), F.col("right").alias("right_doc"))
 
 
 @query("SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS digest FROM documents")
@@ -95,7 +67,11 @@ def f6_source_domain(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.source_domain("url").alias("domain"))
 
 
-@query()
+@query("""
+    SELECT page_id, concat('//', lower(host), CASE WHEN port <> '' AND NOT (lower(scheme) = 'http' AND port = '80') AND NOT (lower(scheme) = 'https' AND port = '443') THEN ':' || port ELSE '' END,
+           CASE WHEN rtrim(path, '/') = '' THEN '/' ELSE rtrim(path, '/') END, CASE WHEN q <> '' THEN '?' || q ELSE '' END) AS url
+    FROM (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS scheme, regexp_extract(url, '//([^/?#:]*)', 1) AS host, regexp_extract(url, '//[^/?#:]*:([0-9]+)', 1) AS port,
+                 regexp_extract(url, '//[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages) u""")
 def f7_canonical_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.canonical_url("url").alias("url"))
 
@@ -114,25 +90,27 @@ def f9_extract_dates(spark, sf_dir):
     return A.select(spark, sf_dir, A.ORDER_EVIDENCE).select("document_id", joined(T.extract_dates("evidence")).alias("dates"))
 
 
-@query()
+# SQL has no look-behind: the character before a number is matched with it; numbers are at most one character apart from it
+@query(f"""SELECT document_id, array_to_string(list_filter(d, lambda x, i: list_position(d, x) = i)[1:16], '|') AS numbers
+    FROM (SELECT document_id, list_transform(regexp_extract_all(' ' || evidence, '(?i)[^\\w.]({C.NUMBER_PATTERN.split(')', 1)[1]})', 1), lambda x: replace(lower(x), ',', '')) AS d FROM ({A.ORDER_EVIDENCE}) e) z""")
 def f10_extract_numbers(spark, sf_dir):
     return A.select(spark, sf_dir, A.ORDER_EVIDENCE).select("document_id", joined(T.extract_numbers("evidence")).alias("numbers"))
 
 
 @query(f"""
-    SELECT document_id, string_agg(w, '|' ORDER BY k) AS tokens FROM (
-        SELECT document_id, w, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, w) AS k FROM (
-            SELECT document_id, w, count(*) AS n FROM (
-                SELECT concat('d', CAST(doc_id AS STRING)) AS document_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_''-]{{1,}}'), lambda x: lower(x))) AS w FROM documents WHERE lang = 'en') a
-            WHERE length(w) > 2 AND w NOT IN ({quoted(C.STOPWORDS)}) GROUP BY ALL) b) c
-    WHERE k <= 64 GROUP BY document_id""")
+    SELECT concat('d', CAST(doc_id AS STRING)) AS document_id, coalesce(tokens, '') AS tokens FROM documents LEFT JOIN (
+        SELECT doc_id, string_agg(w, '|' ORDER BY k) AS tokens FROM (
+            SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS k FROM (
+                SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_''-]{{1,}}'), lambda x: lower(x))) AS w FROM documents) a
+                WHERE length(w) > 2 AND w NOT IN ({quoted(C.STOPWORDS)}) GROUP BY ALL) b) c
+        WHERE k <= 64 GROUP BY doc_id) t USING (doc_id)""")
 def f11_content_tokens(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
-    d = d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), joined(T.content_tokens("text")).alias("tokens"))
-    return d.where("tokens <> ''")
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), joined(T.content_tokens("text")).alias("tokens"))
 
 
-@query()
+@query("""
+    SELECT c_custkey, regexp_replace(lower(n), '^(the|a|an)\\s+', '') AS subject, regexp_replace(lower(n), chr(39) || 's\\b', '') AS entity, true AS reasonable
+    FROM (SELECT c_custkey, concat('The ', c_name, chr(39), 's ', c_mktsegment) AS n FROM customer) c""")
 def f3_f26_entity_names(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     name = F.concat(F.lit("The "), "c_name", F.lit("'s "), "c_mktsegment", F.lit(" "))
@@ -153,23 +131,39 @@ def x1_hash_sample(spark, sf_dir):
     return table(spark, sf_dir, "customer").where(T.unit_interval("c_name") < 0.25).select("c_custkey")
 
 
-@query()
+_STRIPPED = "regexp_replace({}, '^[\\t-\\r \\p{{Z}}]+|[\\t-\\r \\p{{Z}}]+$', '', 'g')"
+# the places where sentences end are marked first, since SQL has no look-behind
+_SENTENCES = f"""
+    SELECT doc_id, list_filter(list_transform(flatten(list_transform(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n|\\r', chr(10), 'g'),
+               '([。！？；;])[\\t-\\r \\p{{Z}}]*', '\\1' || chr(1), 'g'), '([.!?])[\\t-\\r \\p{{Z}}]+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda x: {_STRIPPED.format('x')}), lambda x: x <> ''),
+           lambda x: list_transform(range(0, CAST(ceil(length(x) / 1200.0) AS BIGINT)), lambda k: {_STRIPPED.format('substring(x, k * 1200 + 1, 1200)')}))), lambda x, i: {{'n': i, 'sentence': x}}), lambda x: x.sentence <> '') AS s FROM documents"""
+
+
+@query(f"SELECT doc_id, CAST(len(s) AS INT) AS n, md5(array_to_string(list_transform(s, lambda x: printf('S%06d: %s', x.n, x.sentence)), chr(10))) AS digest FROM ({_SENTENCES}) d")
 def f23_sentences(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", mentions.sentences("text").alias("s"))
     return d.select("doc_id", F.size("s").alias("n"), F.md5(mentions.visible_text("s")).alias("digest"))
 
 
-@query()
+_PLAIN = "replace(replace(replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(f"""
+    SELECT page_id, title, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest FROM (
+        SELECT page_id, trim(regexp_replace({_PLAIN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '\\s+', ' ', 'g')) AS title,
+               array_to_string(list_filter(list_transform(string_split({_PLAIN.format("regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '</(p|div|li|br|h1|h2|h3|tr|section)>', chr(10), 'g'), '<[^>]*>', ' ', 'g')")},
+                   chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS t FROM pages) p""")
 def s27_page_text(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", web.page_text("html").alias("p"))
     return p.select("page_id", "p.title", F.length("p.text").alias("n_chars"), F.md5("p.text").alias("digest"))
 
 
-@query()
+@query("""SELECT q, CAST(rank AS INT) AS rank, 'Tom & ' || url AS title, url, 'a b' AS snippet FROM (
+    SELECT page_id % 20 AS q, url, row_number() OVER (PARTITION BY page_id % 20 ORDER BY url) AS rank FROM (SELECT DISTINCT page_id % 20 AS page_id, url FROM pages) d) r WHERE rank <= 5""")
 def s26_search_results(spark, sf_dir):
     item = F.struct(F.concat(F.lit("Tom &amp; "), "url").alias("title"), "url", F.lit("a  b").alias("description"))
     p = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 20).alias("q")).agg(F.to_json(F.struct(F.struct(F.array_sort(F.collect_list(item)).alias("results")).alias("web"))).alias("payload"))
-    return p.select("q", F.inline(web.search_results("payload")))
+    return web.search_results(p, ["q"])
 
 
 # ---- preparation
@@ -189,10 +183,9 @@ def _tag_rows(spark, sf_dir):
 _REASON = """CASE WHEN language NOT IN ('', 'en') THEN 'wrong_language' WHEN confidence < 0.9 THEN 'low_confidence' WHEN length(evidence) < 60 THEN 'short_evidence' WHEN seq % 23 = 0 THEN 'missing_subject' ELSE 'kept' END"""
 
 
-@query(f"SELECT reason, count(*) AS documents FROM (SELECT {_REASON} AS reason FROM ({A.ORDER_EVIDENCE}) e) r GROUP BY reason")
+@query(f"SELECT document_id, {_REASON} AS reason FROM ({A.ORDER_EVIDENCE}) e")
 def p1_preparation_reasons(spark, sf_dir):
-    rows = prepare.signals(*_tag_rows(spark, sf_dir))
-    return rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("documents"))
+    return prepare.signals(*_tag_rows(spark, sf_dir)).select("document_id", F.coalesce("reason", F.lit("kept")).alias("reason"))
 
 
 @query(f"""
@@ -205,10 +198,12 @@ def d8_anchors(spark, sf_dir):
     return made.select("doc_id", F.col("knowledge_point.key").alias("kp_key"), "confidence", F.col("subject.norm").alias("subject"), "slot", "source_domain")
 
 
-@query(f"SELECT count(*) AS input_rows, 0 AS missing_ner, count(*) FILTER (WHERE {_REASON} = 'kept') AS documents_with_anchors, 6 * count(*) FILTER (WHERE {_REASON} = 'kept') AS anchors FROM ({A.ORDER_EVIDENCE}) e")
+@query(f"""SELECT count(*) AS input_rows, 0 AS missing_ner, count(*) FILTER (WHERE {_REASON} = 'kept') AS documents_with_anchors, 6 * count(*) FILTER (WHERE {_REASON} = 'kept') AS anchors,
+    (SELECT string_agg(reason || '=' || n, '|' ORDER BY reason) FROM (SELECT {_REASON} AS reason, count(*) AS n FROM ({A.ORDER_EVIDENCE}) x GROUP BY ALL) y WHERE reason <> 'kept') AS reasons FROM ({A.ORDER_EVIDENCE}) e""")
 def a8_manifest(spark, sf_dir):
     rows = prepare.signals(*_tag_rows(spark, sf_dir))
-    return prepare.manifest(rows, prepare.anchors(rows)).drop("reasons")
+    made = prepare.manifest(rows, prepare.anchors(rows))
+    return made.withColumn("reasons", joined(F.transform(F.map_entries("reasons"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))))
 
 
 # ---- candidate pairs
@@ -222,10 +217,12 @@ def _with(anchors: str) -> str:
     return f"WITH an AS ({anchors}), m AS ({_MEMBERS}), size AS (SELECT route, b1, subject, b2, count(*) AS docs FROM m GROUP BY ALL)"
 
 
-@query(f"{_with(A.SPLIT_ANCHORS)} SELECT route, count(*) AS members, CAST(sum(seq) AS BIGINT) AS seqs FROM m GROUP BY route")
+_FIRSTS = "SELECT route, b1, subject, b2, doc_id, arg_min(seq, (-confidence, seq)) AS seq FROM m GROUP BY ALL"
+
+
+@query(f"{_with(A.SPLIT_ANCHORS)} {_FIRSTS}")
 def a1_bucket_members(spark, sf_dir):
-    m = K.members(K.routes(A.select(spark, sf_dir, A.SPLIT_ANCHORS)))
-    return m.groupBy("route").agg(F.count("*").alias("members"), F.sum("seq").alias("seqs"))
+    return K.members(K.routes(A.select(spark, sf_dir, A.SPLIT_ANCHORS))).select(*K.BUCKET, "doc_id", "seq")
 
 
 @query(f"""{_with(A.SPLIT_ANCHORS)}, by_kp AS (SELECT route, b1, subject, b2, kp_key, count(*) AS n FROM m GROUP BY ALL), s AS (SELECT route, b1, subject, b2, sum(n) AS docs, sum(n * (n - 1) // 2) AS same_kp FROM by_kp GROUP BY ALL)
@@ -249,11 +246,11 @@ _SMALL = """
     JOIN size s ON s.route = l.route AND s.b1 = l.b1 AND s.subject = l.subject AND s.b2 = l.b2 WHERE s.docs <= {most} AND (l.route = 'kp' OR l.kp_key <> r.kp_key)"""
 
 
-@query(f"{_with(A.SPLIT_ANCHORS)} SELECT route, count(*) AS pairs, count(DISTINCT doc_a || ' ' || doc_b) AS document_pairs FROM ({_SMALL.format(most=20)}) p GROUP BY route")
+@query(f"{_with(A.SPLIT_ANCHORS)} SELECT route, b1, subject, b2, doc_a, doc_b FROM ({_SMALL.format(most=20)}) p")
 def j3_j4_all_pairs(spark, sf_dir):
     m = K.usable(K.members(K.routes(A.select(spark, sf_dir, A.SPLIT_ANCHORS))))
     sized = K.chunks(m).withColumn("n", F.col("docs")).where("n <= 20")
-    return K.small_pairs(sized).groupBy("route").agg(F.count("*").alias("pairs"), F.count_distinct("doc_a", "doc_b").alias("document_pairs"))
+    return K.small_pairs(sized).select(*K.BUCKET, "doc_a", "doc_b")
 
 
 @query(f"{_with(A.ORDER_ANCHORS)}, {_FEATS}, pairs AS (SELECT DISTINCT doc_a, doc_b FROM ({_SMALL.format(most=20)}) p) SELECT * EXCLUDE (near) FROM ({_SCORES}) s")
@@ -265,17 +262,12 @@ def f16_pair_scores(spark, sf_dir):
 
 _MERGED = """
     SELECT concat('pair-', left(sha1(p.doc_a || chr(0) || p.doc_b), 20)) AS pair_id, p.doc_a, p.doc_b, string_agg(DISTINCT CASE WHEN route = 'kp' THEN 'same_kp_subject_slot' ELSE 'tner_cross_kp_entity' END, '|' ORDER BY CASE WHEN route = 'kp' THEN 'same_kp_subject_slot' ELSE 'tner_cross_kp_entity' END) AS retrieval_signals,
-           string_agg(DISTINCT subject, '|' ORDER BY subject) AS subjects, string_agg(DISTINCT slot, '|' ORDER BY slot) AS slots, max(nullif(support_score, 0)) AS best_support, max(nullif(conflict_score, 0)) AS best_conflict, max(token_jaccard) AS token_jaccard
+           string_agg(DISTINCT subject, '|' ORDER BY subject) AS subjects, coalesce(string_agg(DISTINCT CASE WHEN route = 'kp' THEN slot END, '|' ORDER BY CASE WHEN route = 'kp' THEN slot END), '') AS slots, max(nullif(support_score, 0)) AS best_support, max(nullif(conflict_score, 0)) AS best_conflict, max(token_jaccard) AS token_jaccard
     FROM chosen p JOIN scores USING (doc_a, doc_b) GROUP BY p.doc_a, p.doc_b"""
 
 
 def _merged(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: joined(c) for c in ("retrieval_signals", "subjects", "slots")})
-
-
-@query(f"{_with(A.SPLIT_ANCHORS)}, {_FEATS}, chosen AS ({_SMALL.format(most=1000)}), pairs AS (SELECT DISTINCT doc_a, doc_b FROM chosen), scores AS (SELECT * FROM ({_SCORES}) s WHERE NOT near) {_MERGED}")
-def a3_pair_merge(spark, sf_dir):
-    return _merged(K.build_candidates(A.select(spark, sf_dir, A.SPLIT_ANCHORS), K.CandidateConfig(all_pairs_max_docs=1000)))
+    return df.drop("retrieval_scores").withColumns({c: joined(c) for c in ("retrieval_signals", "subjects", "slots")})
 
 
 _TOPK = K.CandidateConfig(all_pairs_max_docs=12, support_top_k=2, conflict_top_k=2, rare_tokens=3, max_token_docs=5, candidate_pool_size=4, max_chunk_docs=16, chunk_overlap=4)
@@ -307,6 +299,12 @@ def w1_topk_pairs(spark, sf_dir):
     return _merged(K.build_candidates(A.select(spark, sf_dir, A.ORDER_ANCHORS), _TOPK))
 
 
+@query(f"{_topk_sql(K.CandidateConfig.library())} {_MERGED}")
+def a3_pair_merge(spark, sf_dir):
+    """The library's defaults: ten partners by either score in large buckets."""
+    return _merged(K.build_candidates(A.select(spark, sf_dir, A.ORDER_ANCHORS), K.CandidateConfig.library()))
+
+
 @query(f"{_topk_sql(K.CandidateConfig.command_line())} {_MERGED}")
 def w1_production_pairs(spark, sf_dir):
     """The command line's defaults."""
@@ -316,8 +314,8 @@ def w1_production_pairs(spark, sf_dir):
 # ---- recall and audits
 
 
-def _known(spark, sf_dir):
-    return A.select(spark, sf_dir, A.KNOWN_PAIRS).select(F.col("left_doc").alias("left"), F.col("right_doc").alias("right")).distinct()
+def _known(spark, sf_dir, pairs=A.KNOWN_PAIRS):
+    return A.select(spark, sf_dir, pairs).select(F.col("left_doc").alias("left"), F.col("right_doc").alias("right")).distinct()
 
 
 @query(f"{_TOPK_SQL}, known AS (SELECT DISTINCT left_doc, right_doc FROM ({A.KNOWN_PAIRS}) k), merged AS ({_MERGED}) SELECT count(*) AS known_pairs, count(pair_id) AS recovered_pairs, count(pair_id)::DOUBLE / count(*) AS recall FROM known LEFT JOIN merged ON doc_a = left_doc AND doc_b = right_doc")
@@ -326,28 +324,26 @@ def a4_known_pair_recall(spark, sf_dir):
 
 
 _AUDIT = """
-    SELECT coalesce(reason, 'recovered') AS reason, count(*) AS pairs FROM (SELECT CASE WHEN EXISTS (SELECT 1 FROM {match} WHERE {cond}) THEN NULL WHEN NOT EXISTS (SELECT 1 FROM an WHERE doc_id = left_doc) OR NOT EXISTS (SELECT 1 FROM an WHERE doc_id = right_doc) THEN 'endpoint_missing_anchor'
+    SELECT left_doc, right_doc, coalesce(reason, 'recovered') AS reason FROM (SELECT left_doc, right_doc, CASE WHEN EXISTS (SELECT 1 FROM {match} WHERE {cond}) THEN NULL WHEN NOT EXISTS (SELECT 1 FROM an WHERE doc_id = left_doc) OR NOT EXISTS (SELECT 1 FROM an WHERE doc_id = right_doc) THEN 'endpoint_missing_anchor'
         WHEN NOT EXISTS (SELECT 1 FROM an x JOIN an y ON x.subject = y.subject WHERE x.doc_id = left_doc AND y.doc_id = right_doc) THEN 'no_shared_subject'
-        WHEN NOT EXISTS (SELECT 1 FROM an x JOIN an y ON x.slot = y.slot WHERE x.doc_id = left_doc AND y.doc_id = right_doc) THEN 'no_shared_slot' ELSE 'no_shared_subject_slot_combination' END AS reason FROM known) r GROUP BY ALL"""
-_AUDIT_ANCHORS = f"SELECT * FROM ({A.SPLIT_ANCHORS}) z WHERE seq % 5 <> 0 AND (seq // 2) % 31 <> 0"
-_AUDIT_ANCHORS_SPARK = _AUDIT_ANCHORS.replace("(seq // 2)", "(seq div 2)")
-_KNOWN_CTE = f"known AS (SELECT DISTINCT left_doc, right_doc FROM ({A.KNOWN_PAIRS}) k)"
+        WHEN NOT EXISTS (SELECT 1 FROM an x JOIN an y ON x.slot = y.slot WHERE x.doc_id = left_doc AND y.doc_id = right_doc) THEN 'no_shared_slot' ELSE 'no_shared_subject_slot_combination' END AS reason FROM known) r"""
+_KNOWN_CTE = f"known AS (SELECT DISTINCT left_doc, right_doc FROM ({A.AUDIT_PAIRS}) k)"
 _BLOCK = "x.route = y.route AND x.b1 = y.b1 AND x.subject = y.subject AND x.b2 = y.b2 AND x.doc_id = left_doc AND y.doc_id = right_doc AND (x.route = 'kp' OR x.kp_key <> y.kp_key)"
 
 
-@query(f"{_with(_AUDIT_ANCHORS)}, {_KNOWN_CTE} {_AUDIT.format(match='m x, m y', cond=_BLOCK)}")
+@query(f"{_with(A.SPLIT_ANCHORS)}, {_KNOWN_CTE} {_AUDIT.format(match='m x, m y', cond=_BLOCK)}")
 def a5_blocking_audit(spark, sf_dir):
-    an = A.select(spark, sf_dir, _AUDIT_ANCHORS_SPARK)
-    return recall.audit_blocking(an, _known(spark, sf_dir)).groupBy(F.coalesce("reason", F.lit("recovered")).alias("reason")).agg(F.count("*").alias("pairs"))
+    an = A.select(spark, sf_dir, A.SPLIT_ANCHORS)
+    return recall.audit_blocking(an, _known(spark, sf_dir, A.AUDIT_PAIRS)).select(F.col("left").alias("left_doc"), F.col("right").alias("right_doc"), F.coalesce("reason", F.lit("recovered")).alias("reason"))
 
 
 _PREP = "x.subject = y.subject AND x.slot = y.slot AND x.doc_id = left_doc AND y.doc_id = right_doc AND (x.kp_key = y.kp_key OR (x.alias_scope = 'all' AND y.alias_scope = 'all'))"
 
 
-@query(f"{_with(_AUDIT_ANCHORS)}, {_KNOWN_CTE} {_AUDIT.format(match='an x, an y', cond=_PREP)}")
+@query(f"{_with(A.SPLIT_ANCHORS)}, {_KNOWN_CTE} {_AUDIT.format(match='an x, an y', cond=_PREP)}")
 def a6_preparation_audit(spark, sf_dir):
-    an = A.select(spark, sf_dir, _AUDIT_ANCHORS_SPARK)
-    return recall.audit_preparation(an, _known(spark, sf_dir)).groupBy(F.coalesce("reason", F.lit("recovered")).alias("reason")).agg(F.count("*").alias("pairs"))
+    an = A.select(spark, sf_dir, A.SPLIT_ANCHORS)
+    return recall.audit_preparation(an, _known(spark, sf_dir, A.AUDIT_PAIRS)).select(F.col("left").alias("left_doc"), F.col("right").alias("right_doc"), F.coalesce("reason", F.lit("recovered")).alias("reason"))
 
 
 # ---- relations and subgraphs
@@ -390,11 +386,15 @@ def w6_ranked_subgraphs(spark, sf_dir):
     return relations.subgraphs(r, most=25).select("subgraph_id", "confidence", "least")
 
 
-@query(f"WITH {_REL} SELECT count(*) AS tasks, count(*) FILTER (WHERE a.document_id IS NULL OR b.document_id IS NULL) AS missing FROM r LEFT JOIN ({A.ORDER_EVIDENCE}) a ON a.document_id = doc_a_id AND a.seq % 50 <> 0 LEFT JOIN ({A.ORDER_EVIDENCE}) b ON b.document_id = doc_b_id AND b.seq % 50 <> 0")
+@query(f"""WITH {_REL}, p AS (SELECT pair_id, doc_a_id AS doc_a, CASE WHEN seq % 50 = 0 THEN 'x' || doc_b_id ELSE doc_b_id END AS doc_b FROM r)
+    SELECT pair_id, doc_a, doc_b, md5(a.evidence) AS digest_a, coalesce(md5(b.evidence), '') AS digest_b, b.url AS url_b, CASE WHEN b.document_id IS NULL THEN 'document missing from the store' END AS error
+    FROM p LEFT JOIN ({A.ORDER_EVIDENCE}) a ON a.document_id = doc_a LEFT JOIN ({A.ORDER_EVIDENCE}) b ON b.document_id = doc_b""")
 def j8_relation_tasks(spark, sf_dir):
-    r = relations.usable_relations(A.select(spark, sf_dir, A.RELATIONS)).select("pair_id", F.col("doc_a_id").alias("doc_a"), F.col("doc_b_id").alias("doc_b"))
-    docs = A.select(spark, sf_dir, A.ORDER_EVIDENCE).where("seq % 50 <> 0").select(F.col("document_id").alias("doc_id"), "url", F.col("evidence").alias("text"))
-    return relations.tasks(r, docs).agg(F.count("*").alias("tasks"), F.count("error").alias("missing"))
+    """Some pairs name a document that the store lacks."""
+    r = relations.usable_relations(A.select(spark, sf_dir, A.RELATIONS))
+    r = r.select("pair_id", F.col("doc_a_id").alias("doc_a"), F.when(F.col("seq") % 50 == 0, F.concat(F.lit("x"), "doc_b_id")).otherwise(F.col("doc_b_id")).alias("doc_b"))
+    docs = A.select(spark, sf_dir, A.ORDER_EVIDENCE).select(F.col("document_id").alias("doc_id"), "url", F.col("evidence").alias("text"))
+    return relations.tasks(r, docs).select("pair_id", "doc_a", "doc_b", F.md5("text_a").alias("digest_a"), F.coalesce(F.md5("text_b"), F.lit("")).alias("digest_b"), "url_b", "error")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 OR o_orderkey % 3 = 1 OR o_orderkey % 5 = 1 THEN 'none' WHEN o_orderkey % 7 = 0 THEN 'support' ELSE 'conflict' END AS relation,
@@ -437,7 +437,15 @@ def a12_best_of_models(spark, sf_dir):
     return evaluation.summarize(A.select(spark, sf_dir, A.ITEMS), best).select("n", "complete", "partial", "failed")
 
 
-@query()
+# the best label of each item under every set of models; the greedy step of each set; then the steps in turn
+@query(f"""
+    WITH RECURSIVE j AS (SELECT model, benchmark_id, CASE {_LABEL} WHEN 'complete' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END AS r FROM ({A.JUDGED_EVENTS}) x WHERE status = 'success'),
+    mm AS (SELECT model, CAST(1 AS BIGINT) << (row_number() OVER (ORDER BY model) - 1) AS bit FROM (SELECT DISTINCT model FROM j) d), sets AS (SELECT unnest(range(0, CAST(pow(2, (SELECT count(*) FROM mm)) AS BIGINT))) AS mask),
+    best AS (SELECT mask, i.benchmark_id, coalesce(max(j.r) FILTER (WHERE (mask & mm.bit) <> 0), 0) AS r FROM sets CROSS JOIN ({A.ITEMS}) i LEFT JOIN j ON j.benchmark_id = i.benchmark_id LEFT JOIN mm ON mm.model = j.model GROUP BY ALL),
+    c AS (SELECT mask, count(*) AS n, count(*) FILTER (WHERE r = 2) AS complete, count(*) FILTER (WHERE r = 1) AS partial FROM best GROUP BY mask),
+    step AS (SELECT s.mask, mm.model, mm.bit, n, complete, partial FROM sets s JOIN mm ON (s.mask & mm.bit) = 0 JOIN c ON c.mask = s.mask | mm.bit QUALIFY row_number() OVER (PARTITION BY s.mask ORDER BY complete DESC, mm.model) = 1),
+    walk AS (SELECT 1 AS models, mask | bit AS mask, model, n, complete, partial FROM step WHERE mask = 0 UNION ALL SELECT models + 1, step.mask | step.bit, step.model, step.n, step.complete, step.partial FROM walk JOIN step ON step.mask = walk.mask)
+    SELECT models, model AS added, n, complete / n AS c_rate, partial / n AS p_rate, (n - complete - partial) / n AS f_rate, CASE WHEN complete + partial > 0 THEN complete / (complete + partial) ELSE 0.0 END AS k_rate FROM walk""")
 def w10_oracle_curve(spark, sf_dir):
     judged = _judged(spark, sf_dir)
     return evaluation.oracle_curve(A.select(spark, sf_dir, A.ITEMS), judged.where("status = 'success'"))
@@ -477,6 +485,19 @@ def a14_dataset_report(spark, sf_dir):
     return evaluation.dataset_report(_items(spark, sf_dir)).select("records", "unique_ids", "unique_questions", "item_groups", "singleton_groups")
 
 
+@query("""WITH i AS (SELECT o_orderkey AS line, concat('who is ', CAST(o_orderkey % 9000 AS STRING)) AS q, CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE CAST(o_orderkey AS STRING) END AS id, CAST(floor(o_orderkey / 2) AS BIGINT) AS g FROM orders),
+    own AS (SELECT o_orderkey AS line, unnest(list_filter([CASE WHEN o_orderkey % 13 = 0 THEN 'benchmark_id must be a canonical UUID string' END, CASE WHEN o_orderkey % 11 = 0 THEN 'eval.preferred_answer must be a non-empty string' END,
+        CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 5 <> 0 THEN 'eval.gold_answers must contain at least two items' END, CASE WHEN o_orderkey % 5 = 0 THEN 'eval.gold_answers must not contain duplicate values' END], lambda x: x IS NOT NULL)) AS error FROM orders)
+    SELECT coalesce(CAST(line AS STRING), '') AS line, error FROM (SELECT line, error FROM own UNION ALL SELECT line, 'duplicate benchmark_id x' FROM (SELECT line, row_number() OVER (PARTITION BY id ORDER BY line) AS k FROM i WHERE id = 'x') d WHERE k > 1
+    UNION ALL SELECT line, 'duplicate normalized question (first seen on line ' || first || ')' FROM (SELECT line, min(line) OVER (PARTITION BY q) AS first FROM i) d WHERE line > first
+    UNION ALL SELECT NULL, 'groups of one: ' || count(*) FROM (SELECT g FROM i GROUP BY g HAVING count(*) < 2) s) a""")
+def a14_dataset_errors(spark, sf_dir):
+    """All errors by line; those of groups, whose made ids SQL lacks, as a count."""
+    errors = evaluation.dataset_errors(_items(spark, sf_dir))
+    groups = errors.where("line is null").agg(F.lit(None).cast("long").alias("line"), F.concat(F.lit("groups of one: "), F.count("*").cast("string")).alias("error"))
+    return errors.where("line is not null").unionByName(groups).select(F.coalesce(F.col("line").cast("string"), F.lit("")).alias("line"), "error")
+
+
 def _stages(spark, sf_dir):
     """Synthesis, source validation and verification rows of orders as subgraphs, with retries."""
     k = F.col("o_orderkey")
@@ -519,19 +540,40 @@ def w8_j15_resume(spark, sf_dir):
 
 
 def _word_mentions(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     words = d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0))).alias("start", "text"))
     return words.select("doc_id", "text", F.lower("text").alias("norm"), F.when(F.length("text") % 2 == 0, "person").otherwise("location").alias("label"), "start")
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS t, generate_subscripts(regexp_extract_all(text, '[A-Z][a-z]{3,}'), 1) - 1 AS s FROM documents WHERE lang = 'en'),
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS t, generate_subscripts(regexp_extract_all(text, '[A-Z][a-z]{3,}'), 1) - 1 AS s FROM documents),
     f AS (SELECT doc_id, CASE WHEN length(t) % 2 = 0 THEN 'person' ELSE 'location' END AS label, lower(t) AS norm, count(*) AS count, min(s) AS first_start, min(t) AS text FROM w GROUP BY ALL)
     SELECT doc_id, text, norm, label, count, CAST(first_start AS INT) AS first_start FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, first_start, norm, label) <= 64""")
 def a7_mention_aggregation(spark, sf_dir):
     return mentions.aggregate_mentions(_word_mentions(spark, sf_dir), ["doc_id"]).drop("surface_forms")
 
 
-@query()
+_EDGE = "[\\s\\x0b!-/:-@\\[-`{-~“”‘’·•…—–]"
+_BARE = "regexp_replace({0}, '^" + _EDGE.replace("{", "{{") + "+|" + _EDGE.replace("{", "{{") + "+$', '', 'g')"
+_ALIASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.ENTITY_ALIASES.items())
+# entity names of texts whose letters are composed already, as the tables' are
+_NAME = f"""SELECT *, CASE v3 {_ALIASES} ELSE v3 END AS norm FROM (
+    SELECT *, {_BARE.format("regexp_replace(regexp_replace(v2, '\\s+([,.;:/)])', '\\1', 'g'), '([(])\\s+', '\\1', 'g')")} AS v3 FROM (
+    SELECT *, replace(lower({_BARE.format("regexp_replace(v1, '(?i)' || chr(39) || 's([^\\p{L}\\p{N}_]|$)', '\\1', 'g')")}), 'ß', 'ss') AS v2 FROM (
+    SELECT *, {_BARE.format("regexp_replace(regexp_replace(replace(surface, '’', chr(39)), 'https?://\\S+|\\b[A-Za-z]+://', ' ', 'g'), '\\s+', ' ', 'g')")} AS v1 FROM (@ROWS@) n0) n1) n2) n3"""
+_REASONABLE = f"""length(norm) BETWEEN 2 AND 120 AND norm NOT IN ({quoted(C.NAVIGATION_WORDS)}) AND NOT regexp_full_match(norm, '[0-9]+') AND len(regexp_extract_all(norm, '\\S+')) <= 12
+    AND NOT (length(norm) = 2 AND norm NOT IN ({quoted(C.TWO_LETTER_NAMES)}) AND NOT regexp_full_match(regexp_replace(surface, '[^A-Za-z]', '', 'g'), '[A-Z][A-Z]'))
+    AND length(regexp_replace(norm, '[^\\p{{L}}]', '', 'g')) > 0 AND length(regexp_replace(norm, '[^\\p{{L}}]', '', 'g')) / length(norm) >= 0.35 AND NOT contains(surface, chr(10))
+    AND NOT (regexp_matches(regexp_extract(surface, '\\p{{L}}'), '\\p{{Ll}}') AND NOT (length(regexp_extract(surface, '\\S+')) > 3 AND regexp_matches(surface, '\\p{{Lu}}')))"""
+
+
+@query(f"""
+    WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents WHERE text IS NOT NULL),
+    t AS (SELECT *, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS e, regexp_matches(word, '^[A-Z]') AS b FROM w),
+    l AS (SELECT *, e - length(word) AS s FROM t WHERE word <> '' AND (b OR regexp_matches(word, '[,.]\\n?$'))),
+    g AS (SELECT *, CASE WHEN lag(e) OVER o IS NULL OR (b AND s > lag(e) OVER o + 1) OR s > lag(e) OVER o + 2 THEN 1 ELSE 0 END AS new FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    r AS (SELECT doc_id, span, CAST(min(s) AS INT) AS s, CAST(max(e) AS INT) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g) x GROUP BY ALL),
+    n AS ({_NAME.replace("@ROWS@", "SELECT r.doc_id, s, e, " + _BARE.format("substring(text, s + 1, e - s)") + " AS surface FROM r JOIN documents USING (doc_id)")})
+    SELECT doc_id, surface AS text, norm, 'person' AS label, s AS start, e AS end FROM n WHERE {_REASONABLE}""")
 def f29_decode_mentions(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     label = F.when(F.col("word").rlike("^[A-Z]"), "B-PER").when(F.col("word").rlike("[,.]$"), "I-PER").otherwise("O")
@@ -540,7 +582,14 @@ def f29_decode_mentions(spark, sf_dir):
     return mentions.decode_mentions(t.where("label <> 'O'"), ["doc_id"], texts=d)
 
 
-@query()
+# windows of a document one after the other, over the places of its tokens
+@query("""
+    WITH RECURSIVE p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]|\\s+')) AS x, generate_subscripts(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]|\\s+'), 1) AS i FROM documents),
+    t AS (SELECT *, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM p), d AS (SELECT doc_id, list(e - length(x) ORDER BY i) AS s, list(e ORDER BY i) AS e, count(*) AS n FROM t WHERE NOT regexp_matches(x, '^\\s') GROUP BY doc_id),
+    r AS (SELECT doc_id, CAST(0 AS BIGINT) AS k FROM d UNION ALL
+        SELECT doc_id, CASE WHEN coalesce(pos, 0) > 0 THEN k + pos ELSE stop END FROM (
+            SELECT doc_id, k, stop, list_position(list_transform(s[k + 2:stop], lambda x: x >= greatest(s[k + 1] + 1, e[stop] - 100)), true) AS pos FROM (SELECT d.*, k, least(n, k + 510) AS stop FROM r JOIN d USING (doc_id)) q WHERE stop < n) z)
+    SELECT CAST(doc_id AS STRING) AS document_id, CAST(s[k + 1] AS BIGINT) AS chunk_start, md5(substring(text, CAST(s[k + 1] AS BIGINT) + 1, CAST(e[least(n, k + 510)] - s[k + 1] AS BIGINT))) AS digest FROM r JOIN d USING (doc_id) JOIN documents USING (doc_id)""")
 def f28_token_chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
     return mentions.chunk_documents(d).select("document_id", "chunk_start", F.md5("chunk_text").alias("digest"))
@@ -585,3 +634,6 @@ def x6_model_stage(spark, sf_dir):
     answers = answers.select("key", "attempt", F.when(F.col("k") % 4 == 0, "no object").otherwise(good).alias("response"))
     done = responders.run_stage(tasks, responders.replay(answers), lambda c: F.from_json(evaluation.json_object(c), "v int"), lambda df: F.array_compact(F.array(F.when(F.col("value.v") < 0, "negative"))))
     return done.groupBy("status", "rounds").agg(F.count("*").alias("tasks"))
+
+
+from contrasto.plans import records, stages  # noqa: E402, F401  (register theirs)

@@ -44,53 +44,3 @@ def test_decode_whole_texts(spark, tmp_path):
     assert got.schema["start"].dataType.simpleString() == "int"
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert {w[0] for w in want} == {1, 2, 3, 4, 7}
-
-
-def _sets(text):
-    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
-
-
-def test_near_stage_links_every_similar_pair(spark, tmp_path):
-    import corpus_pipeline as P
-
-    rng = random.Random(8)
-    line = [f"common{i}" for i in range(30)]
-    texts = ["one two", "One  two", "one three", "!", "a b c d e", "a b c d e f"]
-    for n in (12, 40, 150, 150, 600):
-        base = [f"w{rng.randrange(400)}" for _ in range(n)]
-        texts.append(" ".join(base))
-        for _ in range(12):
-            some = list(base)
-            for _ in range(rng.randrange(1, 2 + n // 60)):
-                some[rng.randrange(n)] = f"new{rng.randrange(10**6)}"
-            texts.append(" ".join(some + (line if rng.random() < 0.2 else [])))
-    texts += [" ".join([f"v{rng.randrange(900)}" for _ in range(k)] + line) for k in range(20)]
-    rng.shuffle(texts)
-    sets, root = [_sets(t) for t in texts], list(range(len(texts)))
-    pairs = 0
-    for j in range(len(texts)):
-        for i in range(j):
-            both = len(sets[i] & sets[j])
-            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
-                pairs += 1
-                lo, hi = sorted((root[i], root[j]))
-                root = [lo if r == hi else r for r in root]
-    rows = [(d, t, "en") for d, t in enumerate(texts)] + [(None, texts[0], "en")]
-    docs = spark.read.parquet(f"{_documents(spark, tmp_path, rows)}/documents.parquet")
-    got = P.near(spark, docs, str(tmp_path)).collect()
-    assert pairs > 100 and sorted(r["doc_id"] for r in got) == sorted(set(root))
-
-
-def test_language_stage_learns_from_all_labels(spark, tmp_path):
-    import zlib
-
-    import corpus_pipeline as P
-
-    held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 3 == 1)
-    free = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 3 != 1)
-    rows = [(free, "the river and the stone of the garden", "en"), (held, "привет как твои дела сегодня", "ru"), (None, "καλημέρα σας φίλε μου", "el")]
-    kept = lambda at, rows: {r["text"] for r in P.language(spark, spark.read.parquet(f"{_documents(spark, at, rows)}/documents.parquet"), "").collect()}
-    assert kept(tmp_path / "a", rows) == {t for _, t, _ in rows}
-    bare = [(d, t, None) for d, t, _ in rows] + [(7, "12 !", None), (8, None, None), (9, "", None)]
-    assert kept(tmp_path / "b", bare) == {t for _, t, _ in rows}
