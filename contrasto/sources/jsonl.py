@@ -275,12 +275,19 @@ def repair(path: str) -> bool:
 def write_manifest(path: str, report: dict) -> None:
     """A driver-side report; a reader sees the old one or the whole new one."""
     where, name = _opened(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+    where.create_dir(name.rsplit("/", 1)[0], recursive=True)
     draft = f"{name}.{uuid.uuid4().hex}"
     with where.open_output_stream(draft, compression=None) as f:
         f.write((json.dumps(report, ensure_ascii=False, indent=2, sort_keys=True) + "\n").encode())
     where.move(draft, name)
 
 
+def opened_input(path: str):
+    """A file of any file system, to be read by the driver."""
+    where, name = _opened(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+    return where.open_input_stream(name, compression=None)
+
+
 def truncated_zstd(data: bytes) -> bool:
     """Whether the last frame of zstd data is cut off."""
     import zstandard
