@@ -89,9 +89,13 @@ def bucket_stats(m: DataFrame, config: CandidateConfig = CandidateConfig()) -> D
 
 
 def usable(m: DataFrame, config: CandidateConfig = CandidateConfig()) -> DataFrame:
-    """Members of buckets with partners, without over-frequent entities; with the bucket's size."""
-    # written, so that the join has exchanges on both sides and Spark can split a frequent bucket
-    return m.join(materialize(bucket_sizes(m).where("docs > 1"), "buckets"), BUCKET).where((F.col("route") != "ner") | (F.col("docs") <= config.max_entity_docs))
+    """Members of buckets with partners, without over-frequent entities; with the bucket's size and its number ``bid``.
+
+    Later steps group by the number, so that buckets' names don't travel with every pair.
+    """
+    # written, so that numbers are given once, and the join has exchanges on both sides and Spark can split a frequent bucket
+    sizes = materialize(bucket_sizes(m).where("docs > 1").withColumn("bid", F.monotonically_increasing_id()), "buckets")
+    return m.join(sizes, BUCKET).where((F.col("route") != "ner") | (F.col("docs") <= config.max_entity_docs))
 
 
 def chunks(m: DataFrame, config: CandidateConfig = CandidateConfig()) -> DataFrame:
@@ -100,17 +104,17 @@ def chunks(m: DataFrame, config: CandidateConfig = CandidateConfig()) -> DataFra
     small = m.where(F.col("docs") <= config.max_chunk_docs).withColumn("chunk", F.lit(0).cast("long"))
     # only buckets beyond one chunk are ranked; by bins of the hash, so that no task sorts a whole bucket
     large = m.where(F.col("docs") > config.max_chunk_docs).withColumn("hash", T.stable_hash("doc_id")).withColumn("bin", F.substring("hash", 1, 2))
-    before = W.partitionBy(*BUCKET).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # at most 256 rows a bucket
-    bins = large.groupBy(*BUCKET, "bin").agg(F.count("*").alias("c")).withColumn("base", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
-    place = F.row_number().over(W.partitionBy(*BUCKET, "bin").orderBy("hash", "doc_id"))
+    before = W.partitionBy("bid").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # at most 256 rows a bucket
+    bins = large.groupBy("bid", "bin").agg(F.count("*").alias("c")).withColumn("base", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
+    place = F.row_number().over(W.partitionBy("bid", "bin").orderBy("hash", "doc_id"))
     i = F.col("i")
     first = F.greatest(F.lit(0), F.floor((i - config.max_chunk_docs) / step) + 1)
-    large = large.withColumn("place", place).join(bins, [*BUCKET, "bin"]).withColumn("i", F.col("base") + F.col("place") - 1)
+    large = large.withColumn("place", place).join(bins, ["bid", "bin"]).withColumn("i", F.col("base") + F.col("place") - 1)
     large = large.withColumn("chunk", F.explode(F.sequence(first, F.floor(i / step)))).select(*small.columns)
     return small.unionByName(large)
 
 
-CHUNK = [*BUCKET, "chunk"]
+CHUNK = ["bid", "chunk"]
 
 
 def eligible(a: str = "l", b: str = "r") -> Column:
@@ -118,10 +122,10 @@ def eligible(a: str = "l", b: str = "r") -> Column:
 
 
 def small_pairs(sized: DataFrame) -> DataFrame:
-    """All eligible pairs of chunks up to the bound; sized: chunk members with n, the chunk's size."""
+    """All eligible pairs of chunks up to the bound, with what ``sized`` has of the bucket's columns; sized: chunk members with n, the chunk's size."""
     on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in CHUNK] + [F.col("l.doc_id") < F.col("r.doc_id")]
     pairs = sized.alias("l").join(sized.alias("r"), on)
-    return pairs.where(eligible()).select(*[F.col(f"l.{c}") for c in CHUNK], F.col("l.doc_id").alias("doc_a"), F.col("r.doc_id").alias("doc_b"))
+    return pairs.where(eligible()).select(*[F.col(f"l.{c}") for c in [*CHUNK, *BUCKET] if c in sized.columns], F.col("l.doc_id").alias("doc_a"), F.col("r.doc_id").alias("doc_b"))
 
 
 def large_candidates(sized: DataFrame, feats: DataFrame, config: CandidateConfig = CandidateConfig()) -> DataFrame:
@@ -148,7 +152,7 @@ def large_candidates(sized: DataFrame, feats: DataFrame, config: CandidateConfig
     asks = asks.withColumn("at", F.expr("pmod(place + CASE WHEN k % 2 = 1 THEN -((k + 1) div 2) ELSE k div 2 END, n)"))
     near = asks.join(ring.select(*CHUNK, F.col("place").alias("at"), F.col("doc_id").alias("other")), [*CHUNK, "at"]).where("doc_id <> other").select(*CHUNK, "doc_id", "other")
     both = pool.unionByName(near).distinct()
-    kp = sized.select(*CHUNK, "doc_id", "kp_key")
+    kp = sized.select(*CHUNK, "doc_id", "kp_key", "route")
     both = both.join(kp, [*CHUNK, "doc_id"]).join(kp.select(*CHUNK, F.col("doc_id").alias("other"), F.col("kp_key").alias("other_kp")), [*CHUNK, "other"])
     return both.where("route = 'kp' or kp_key <> other_kp").select(*CHUNK, "doc_id", "other")
 
@@ -177,20 +181,21 @@ def top_pairs(candidates: DataFrame, scores: DataFrame, config: CandidateConfig
 def contributions(anchors: DataFrame, feats: DataFrame, config: CandidateConfig = CandidateConfig()) -> DataFrame:
     """Pairs by bucket with their scores: route, subject, slot, kp keys through ``b1``; sampled by key if so configured."""
     # what several steps read is written once; else each of them would compute it again
-    m = materialize(members(routes(anchors)), "members")
+    m = materialize(members(routes(anchors)), "members")  # its buckets are counted before they are joined
     feats = materialize(feats, "features")
-    cut = chunks(usable(m, config), config)
+    m = materialize(usable(m, config), "usable")
+    cut = chunks(m.select("bid", "docs", "route", "doc_id", "kp_key"), config)
     sized = materialize(cut.join(cut.groupBy(*CHUNK).agg(F.count("*").alias("n")), CHUNK), "chunks")
     small = small_pairs(sized.where(F.col("n") <= config.all_pairs_max_docs))
     large = sized.where(F.col("n") > config.all_pairs_max_docs)
     cand = materialize(large_candidates(large, feats, config), "candidates")
     wide = cand.select(F.least("doc_id", "other").alias("doc_a"), F.greatest("doc_id", "other").alias("doc_b"))
     scores = materialize(scored(small.select("doc_a", "doc_b").unionByName(wide), feats, config), "scores")
-    chosen = small.unionByName(top_pairs(cand, scores, config)).select(*BUCKET, "doc_a", "doc_b").distinct()
+    chosen = small.select("bid", "doc_a", "doc_b").unionByName(top_pairs(cand, scores, config).select("bid", "doc_a", "doc_b")).distinct()
     if config.pair_sample_rate < 1.0:
         chosen = chosen.where(T.unit_interval(F.concat("doc_a", F.lit("\0"), "doc_b")) < config.pair_sample_rate)
-    slots = m.select(*BUCKET, F.col("doc_id").alias("doc_a"), F.col("slot").alias("anchor_slot"))
-    return chosen.join(scores, ["doc_a", "doc_b"]).join(slots, [*BUCKET, "doc_a"]).select("doc_a", "doc_b", "route", "b1", "subject", F.col("anchor_slot").alias("slot"), "scores")
+    names = m.select("bid", F.col("doc_id").alias("doc_a"), "route", "b1", "subject", "slot")
+    return chosen.join(scores, ["doc_a", "doc_b"]).join(names, ["bid", "doc_a"]).select("doc_a", "doc_b", "route", "b1", "subject", "slot", "scores")
 
 
 SIGNALS = {"kp": "same_kp_subject_slot", "ner": "tner_cross_kp_entity"}

@@ -50,8 +50,8 @@ def signals(tags: DataFrame, ner: DataFrame, config: PreparationConfig = Prepara
     # entity names need Python; rows that are out already send it nothing
     rows = rows.withColumn("subjects", E.select_subjects(F.when(F.col("early").isNull(), F.col("evidence")).otherwise(""), "entities", config.max_subjects))
     rows = rows.withColumn("reason", F.coalesce("early", F.when(F.size("subjects") == 0, "missing_subject"))).drop("early")
-    # anchors, reasons and manifest all read this; written once, so the patterns run once
-    return materialize(rows, "signals")
+    # anchors, reasons and manifest all read this; written once, so the patterns run once, and without the lists it came from
+    return materialize(rows.withColumn("missing_ner", F.col("entities").isNull()).drop("tags", "entities"), "signals")
 
 
 def anchors(rows: DataFrame, domains: DataFrame | None = None, config: PreparationConfig = PreparationConfig()) -> DataFrame:
@@ -76,6 +76,6 @@ def anchors(rows: DataFrame, domains: DataFrame | None = None, config: Preparati
 
 def manifest(rows: DataFrame, made: DataFrame) -> DataFrame:
     """One row: input rows, documents and anchors made, and counts of reasons."""
-    counts = rows.agg(F.count("*").alias("input_rows"), F.count_if(F.col("entities").isNull()).alias("missing_ner"))
+    counts = rows.agg(F.count("*").alias("input_rows"), F.count_if("missing_ner").alias("missing_ner"))
     reasons = rows.where("reason is not null").groupBy("reason").count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "count")))).alias("reasons"))
     return counts.crossJoin(made.agg(F.count_distinct("doc_id").alias("documents_with_anchors"), F.count("*").alias("anchors"))).crossJoin(reasons)

@@ -6,6 +6,7 @@ Column types agree on both sides: strings, bigint, double (rounded) and boolean;
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contrasto.functions import constants as C
@@ -118,12 +119,13 @@ def f3_f26_entity_names(spark, sf_dir):
 
 
 @query(f"""
-    SELECT a.document_id AS doc_a, b.document_id AS doc_b, concat('pair-', left(sha1(least(a.document_id, b.document_id) || chr(0) || greatest(a.document_id, b.document_id)), 20)) AS pair_id
-    FROM ({A.ORDER_EVIDENCE}) a JOIN ({A.ORDER_EVIDENCE}) b ON a.customer = b.customer AND a.seq < b.seq""")
+    SELECT doc_a, doc_b, concat('pair-', left(sha1(least(doc_a, doc_b) || chr(0) || greatest(doc_a, doc_b)), 20)) AS pair_id
+    FROM (SELECT document_id AS doc_a, lead(document_id) OVER (PARTITION BY customer ORDER BY seq) AS doc_b FROM ({A.ORDER_EVIDENCE}) e) p WHERE doc_b IS NOT NULL""")
 def f18_pair_id(spark, sf_dir):
-    e = A.select(spark, sf_dir, A.ORDER_EVIDENCE).select("document_id", "customer", "seq")
-    p = e.alias("a").join(e.alias("b"), F.expr("a.customer = b.customer and a.seq < b.seq"))
-    return p.select(F.col("a.document_id").alias("doc_a"), F.col("b.document_id").alias("doc_b"), T.pair_id("a.document_id", "b.document_id").alias("pair_id"))
+    """A customer's orders with the next one each."""
+    e = A.select(spark, sf_dir, A.ORDER_EVIDENCE)
+    p = e.select(F.col("document_id").alias("doc_a"), F.lead("document_id").over(W.partitionBy("customer").orderBy("seq")).alias("doc_b")).where("doc_b is not null")
+    return p.select("doc_a", "doc_b", T.pair_id("doc_a", "doc_b").alias("pair_id"))
 
 
 @query("SELECT c_custkey FROM customer WHERE CAST(('0x' || left(sha1(c_name), 16)) AS UBIGINT)::DOUBLE / 18446744073709551616.0 < 0.25")
