@@ -33,6 +33,8 @@ SYNTHESIS = "subgraph_id string, status string, qa struct<keep:boolean,questions
 DECISION = "subgraph_id string, status string, {0} struct<keep:boolean,verdict:string>"
 
 
+#: Stages that decide whether a question is kept, and the column of the decision.
+DECISIONS = {"synthesis": "qa", "source_validation": "validation", "verification": "verification"}
 #: Commands that return 1 if any of their rows is an error.
 FAIL_ON_ERRORS = ("tag-kp", "synthesize", "validate-sources", "verify")
 
@@ -131,8 +133,11 @@ class Run:
     def latest(self, stage: str, key: str) -> DataFrame:
         return lookups.latest(self.load(stage), key, "run").withColumn("line", F.col("run"))
 
-    def responder(self, system: str = "") -> responders.Responder:
-        a = self.args
+    def responder(self) -> responders.Responder:
+        a, system = self.args, ""
+        if self.args.prompt:
+            with jsonl.opened_input(self.args.prompt) as f:
+                system = f.read().decode().strip()
         if a.answers:
             return responders.replay(self.read([a.answers], ANSWERS).select("key", "attempt", "response"))
         if not a.base_url:
@@ -158,7 +163,14 @@ class Run:
         mine = self.spark.read.parquet(path)
         new = mine.where(F.col("run") == mine.agg(F.max("run")).first()[0]) if mine.limit(1).count() else mine
         counts = {r["status"]: r["count"] for r in new.groupBy("status").count().collect()}  # two rows
-        return {"stage": stage, "submitted": sum(counts.values()), "resumed": done.where("status = 'success'").select(key).distinct().count() if done is not None else 0, **counts}
+        counts_of: dict[str, int] = {}
+        part = DECISIONS.get(stage)
+        if part:
+            for r in new.where("status = 'success'").groupBy(F.col(f"{part}.keep").alias("keep"), (F.col(f"{part}.verdict") if part != "qa" else F.lit(None).cast("string")).alias("verdict")).count().collect():  # a few rows
+                for name in ("kept" if r["keep"] else "rejected", f"verdict_{r['verdict']}" if r["verdict"] else None):
+                    if name:
+                        counts_of[name] = counts_of.get(name, 0) + r["count"]
+        return counts_of | {"stage": stage, "submitted": sum(counts.values()), "resumed": done.where("status = 'success'").select(key).distinct().count() if done is not None else 0, **counts}
 
     def _have(self, path: str) -> DataFrame | None:
         try:
@@ -231,14 +243,14 @@ class Run:
         items = lookups.require_unique(self.read([self.args.benchmark], ITEM), "benchmark_id")
         if bad := items.where(F.size(evaluation.item_errors()) > 0).limit(1).count():
             raise ValueError(f"{bad} invalid item or more in the benchmark")
-        report = self.finish(items, "responses", "benchmark_id", lambda t: stages.answer(t, self.responder(self.args.system)))
+        report = self.finish(items, "responses", "benchmark_id", lambda t: stages.answer(t, self.responder()))
         jsonl.write_jsonl(lookups.latest(self.load("responses"), "benchmark_id", "run").select("benchmark_id", "status", "answer", "error"), f"{self.root}/responses.jsonl")
         return report
 
     def judge(self) -> dict:
         items = lookups.require_unique(self.read([self.args.benchmark], ITEM), "benchmark_id")
         given = self.read([self.args.responses], RESPONSE) if self.args.responses else lookups.latest(self.load("responses"), "benchmark_id", "run")
-        report = self.finish(given.select("benchmark_id", "status", "answer"), "judgments", "benchmark_id", lambda t: stages.judge(t, items, self.responder(self.args.system)))
+        report = self.finish(given.select("benchmark_id", "status", "answer"), "judgments", "benchmark_id", lambda t: stages.judge(t, items, self.responder()))
         jsonl.write_jsonl(lookups.latest(self.load("judgments"), "benchmark_id", "run").select("benchmark_id", "status", "answer", "judgment"), f"{self.root}/judgments.jsonl")
         return report
 
@@ -304,10 +316,10 @@ def build_parser() -> argparse.ArgumentParser:
         return c
 
     def model(c, retries: int = 1):
-        """What every stage that asks a model takes; ``--answers`` are recorded ones."""
-        for name, kind, value in (("base-url", str, ""), ("api-key", str, os.environ.get("OPENAI_API_KEY", "")), ("model", str, ""), ("answers", str, ""), ("system", str, ""), ("timeout", float, 1200.0), ("request-retries", int, 2), ("validation-retries", int, retries), ("max-tokens", int, 8192)):
+        """What every stage that asks a model takes; ``--answers`` are recorded ones, ``--prompt`` a file with a system prompt."""
+        for name, kind, value in (("base-url", str, ""), ("api-key", str, os.environ.get("OPENAI_API_KEY", "")), ("model", str, ""), ("answers", str, ""), ("prompt", str, ""), ("timeout", float, 1200.0), ("request-retries", int, 2), ("validation-retries", int, retries), ("max-tokens", int, 8192)):
             c.add_argument(f"--{name}", type=kind, default=value)
-        c.add_argument("--header", action="append", default=[], metavar="NAME: VALUE")
+        c.add_argument("--header", action="append", default=[], metavar="NAME=VALUE")
         return part(c)
 
     def some(c):

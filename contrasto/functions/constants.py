@@ -36,10 +36,11 @@ SLOT_WORDS = {
     "size": "size|length|width|weight|weighs|area",
     "votes": "votes|voted|ballot|election|majority|tally",
 }
-STOPWORDS = (
-    "about after again also among because before being between could from have into more most other over said same "
-    "that their there these they this through under were which with would"
-).split()
+STOPWORDS = [
+    "about", "after", "again", "also", "among", "because", "before", "being", "between", "could", "from", "have", "into", "more",
+    "most", "other", "over", "said", "same", "that", "their", "there", "these", "they", "this", "through", "under", "were",
+    "which", "with", "would",
+]
 GENERIC_SUBJECTS = ["associated press", "breaking news", "read more", "reuters", "the associated press", "text size", "view full size"]
 LABEL_PRIORITY = {"person": 11, "organization": 10, "event": 9, "product": 8, "work_of_art": 8, "law": 7, "facility": 6, "location": 5, "misc": 4, "norp": 3, "language": 1}
 SUBJECT_STRIP = " \t\r\n,;:.()[]{}<>\"'`“”‘’"
@@ -50,11 +51,12 @@ ENTITY_LABELS = {
     "PER": "person", "PERSON": "person", "ORG": "organization", "LOC": "location", "GPE": "location", "FAC": "facility", "MISC": "misc",
     "NORP": "norp", "PRODUCT": "product", "EVENT": "event", "WORK_OF_ART": "work_of_art", "LAW": "law", "LANGUAGE": "language",
 }
-NAVIGATION_WORDS = (
-    "about advertisement archive back blog browse click comment comments contact copyright download email facebook follow forums gallery "
-    "home image images instagram login menu more next photo photos previous print privacy read rss search share subscribe terms twitter "
-    "video videos view"
-).split()
+NAVIGATION_WORDS = [
+    "about", "advertisement", "archive", "back", "blog", "browse", "click", "comment", "comments", "contact", "copyright",
+    "download", "email", "facebook", "follow", "forums", "gallery", "home", "image", "images", "instagram", "login", "menu",
+    "more", "next", "photo", "photos", "previous", "print", "privacy", "read", "rss", "search", "share", "subscribe", "terms",
+    "twitter", "video", "videos", "view",
+]
 ENTITY_ALIASES = {
     "u.s": "united states", "u.s.": "united states", "us": "united states", "u.s.a": "united states", "u.s.a.": "united states", "usa": "united states",
     "u.k": "united kingdom", "u.k.": "united kingdom", "uk": "united kingdom",

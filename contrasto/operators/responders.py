@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import urllib.error
 import urllib.request
@@ -44,12 +45,13 @@ def message_text(message: dict) -> str:
 
 
 def parse_headers(values: list[str]) -> dict[str, str]:
+    """Headers given as ``NAME=VALUE`` (the value as it stands) or ``NAME: VALUE``."""
     out = {}
     for v in values:
-        name, found, value = v.partition(":")
-        if not found or not name.strip():
-            raise ValueError(f"a header needs the form NAME: VALUE, not {v!r}")
-        out[name.strip()] = value.strip()
+        m = re.fullmatch(r"\s*([^=:]*?)\s*([=:])(.*)", v, re.DOTALL)
+        if not m or not m[1]:
+            raise ValueError(f"a header needs the form NAME=VALUE, not {v!r}")
+        out[m[1]] = m[3] if m[2] == "=" else m[3].strip()
     return out
 
 

@@ -112,14 +112,15 @@ def test_model_stages(spark, tmp_path, capsys, monkeypatch):
     graph = f"subgraph-{pair('a', 'b')}"
     span = lambda n: [{"doc_id": "a" if n == 12 else "b", "quote": f"{n} votes"}]
     qa = {"keep": True, "subject": "p", "attribute": "votes", "preferred_answer": "12", "questions": [{"formulation": f, "question": "How many?"} for f in ("named_entity", "clue_based")], "gold_answers": [{"value": str(n), "supporting_doc_ids": [span(n)[0]["doc_id"]], "evidence_spans": span(n)} for n in (12, 13)]}
-    assert run("synthesize", "--answers", answers("qa", [(graph, 1, {}), (graph, 2, qa)])) == 0 and report()["success"] == 1
+    assert run("synthesize", "--answers", answers("qa", [(graph, 1, {}), (graph, 2, qa)])) == 0
+    assert (made := report())["success"] == 1 and made["kept"] == 1
     flags = {k: True for k in ("keep", "same_subject", "same_attribute", "same_fact_context", "qa_valid")} | {"verdict": "verified", "reason": "r"}
     sources = flags | {"answer_verifications": [{"value": str(n), "supported": True, "evidence_spans": span(n), "reason": "r"} for n in (12, 13)]}
     assert run("validate-sources", "--answers", answers("sources", [(graph, 1, sources)])) == 0 and report()["success"] == 1
     web = flags | {"answer_verifications": [{"value": str(n), "verified": True, "sources": [{"source_id": "source-1", "url": "https://w/", "quote": f"{n} votes"}], "reason": "r"} for n in (12, 13)]}
     page = {"requested_url": "https://w/", "url": "https://w/", "text": "12 votes, some say 13 votes"}
     traces = _write(tmp_path / "traces.jsonl", [{"subgraph_id": graph, "trace": {"searches": ["q", "r"], "fetches": [page], "finals": [json.dumps(web)]}}])
-    assert run("verify", "--traces", traces) == 0 and (made := report())["success"] == 1 and made["synthesized_kept"] == 1
+    assert run("verify", "--traces", traces) == 0 and (made := report())["success"] == 1 and made["synthesized_kept"] == 1 and made["verdict_verified"] == 1
     assert run("export") == 0 and report()["questions_exported"] == 2
     items = [json.loads(x) for x in spark.read.text(f"{root}/benchmark.jsonl").toPandas()["value"]]
     bench = _write(tmp_path / "bench.jsonl", items)

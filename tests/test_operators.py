@@ -154,7 +154,10 @@ def test_responder_retry(spark):
     check = lambda df: F.array_compact(F.array(F.when(F.col("value.v") < 0, "negative")))
     got = {r["key"]: (r["status"], r["rounds"]) for r in responders.run_stage(tasks, responders.replay(answers), parse, check).collect()}
     assert got == {"a": ("success", 1), "b": ("success", 2), "c": ("error", 2)}
-    assert responders.message_text({"content": [{"text": "a"}, {"text": "b"}]}) == "ab" and responders.parse_headers(["A: b"]) == {"A": "b"}
+    assert responders.message_text({"content": [{"text": "a"}, {"text": "b"}]}) == "ab" and responders.parse_headers(["A: b", "C=d: e=f ", " G =h"]) == {"A": "b", "C": "d: e=f ", "G": "h"}
+    for bad in ("nothing", "=x", " : y"):
+        with pytest.raises(ValueError):
+            responders.parse_headers([bad])
 
 
 def test_prompts_and_cache(spark):
