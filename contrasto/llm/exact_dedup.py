@@ -11,7 +11,8 @@ Texts are equal when identical after each run of ASCII white space became one sp
 3. The other copies look up the decision of the record that stood for them.
 
 Defined cases: null text equals empty text; of equal texts the smallest doc_id stays, a null doc_id only when
-there is no other; of repeated rows (same doc_id and text) exactly one has ``kept``; an empty table gives an
+there is no other; of repeated rows (same doc_id and text) exactly one has ``kept``; a very long text is one record, held
+whole by the tasks that compare it, and a table with one record may outgrow its bound; an empty table gives an
 empty result; further columns are ignored.
 """
 

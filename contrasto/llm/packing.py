@@ -7,7 +7,8 @@ are full.  What a task leaves open is merged by further rounds of the same packi
 one group is left; its last tokens form sequences whose lengths are powers of two, which need no padding.
 
 Defined cases: null text is empty (its end id alone); an empty table gives no pieces; repeated rows are packed
-each for itself; further columns are ignored.
+each for itself; of windows with equal room the first opened is taken; the ids of a very long text take four bytes each in its
+task, and it gives whole windows; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,8 +12,8 @@ range of ids with vectorised numpy.  Layout (little-endian):
     document starts        u64 x (documents + 1), in ids of this file
     trailer                u64 x 6: documents, ids, blocks, bits, block size, position of the block offsets; magic
 
-Defined cases: null text is empty (its end id alone); null doc_ids come first; repeated rows are written each for
-itself; an empty table gives no rows; further columns are ignored.  A task writes under a name of its own attempt
+Defined cases: null text is empty (its end id alone); null doc_ids come first; rows with one id are ordered by their
+text, and repeated rows are written each for itself; a very long text spans many blocks, which readers take a bounded number of ids at a time; an empty table gives no rows; further columns are ignored.  A task writes under a name of its own attempt
 and renames at the end, so a repeated task leaves one whole file.
 """
 
