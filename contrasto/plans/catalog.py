@@ -325,15 +325,19 @@ def a4_known_pair_recall(spark, sf_dir):
     return recall.pair_recall(K.build_candidates(A.select(spark, sf_dir, A.ORDER_ANCHORS), _TOPK), _known(spark, sf_dir))
 
 
-_AUDIT = """
-    SELECT left_doc, right_doc, coalesce(reason, 'recovered') AS reason FROM (SELECT left_doc, right_doc, CASE WHEN EXISTS (SELECT 1 FROM {match} WHERE {cond}) THEN NULL WHEN NOT EXISTS (SELECT 1 FROM an WHERE doc_id = left_doc) OR NOT EXISTS (SELECT 1 FROM an WHERE doc_id = right_doc) THEN 'endpoint_missing_anchor'
-        WHEN NOT EXISTS (SELECT 1 FROM an x JOIN an y ON x.subject = y.subject WHERE x.doc_id = left_doc AND y.doc_id = right_doc) THEN 'no_shared_subject'
-        WHEN NOT EXISTS (SELECT 1 FROM an x JOIN an y ON x.slot = y.slot WHERE x.doc_id = left_doc AND y.doc_id = right_doc) THEN 'no_shared_slot' ELSE 'no_shared_subject_slot_combination' END AS reason FROM known) r"""
+# which pairs share a subject, a slot, a bucket: joined from the pairs' own documents
+_AUDIT = """, ds AS (SELECT DISTINCT doc_id, subject FROM an), dt AS (SELECT DISTINCT doc_id, slot FROM an), have AS (SELECT DISTINCT doc_id FROM an),
+    hit AS (SELECT DISTINCT left_doc, right_doc FROM known, {match} WHERE {cond}),
+    same_subject AS (SELECT DISTINCT left_doc, right_doc FROM known JOIN ds x ON x.doc_id = left_doc JOIN ds y ON y.doc_id = right_doc AND y.subject = x.subject),
+    same_slot AS (SELECT DISTINCT left_doc, right_doc FROM known JOIN dt x ON x.doc_id = left_doc JOIN dt y ON y.doc_id = right_doc AND y.slot = x.slot)
+    SELECT k.left_doc, k.right_doc, CASE WHEN h.left_doc IS NOT NULL THEN 'recovered' WHEN l.doc_id IS NULL OR r.doc_id IS NULL THEN 'endpoint_missing_anchor' WHEN s.left_doc IS NULL THEN 'no_shared_subject'
+        WHEN t.left_doc IS NULL THEN 'no_shared_slot' ELSE 'no_shared_subject_slot_combination' END AS reason
+    FROM known k LEFT JOIN hit h USING (left_doc, right_doc) LEFT JOIN have l ON l.doc_id = k.left_doc LEFT JOIN have r ON r.doc_id = k.right_doc LEFT JOIN same_subject s USING (left_doc, right_doc) LEFT JOIN same_slot t USING (left_doc, right_doc)"""
 _KNOWN_CTE = f"known AS (SELECT DISTINCT left_doc, right_doc FROM ({A.AUDIT_PAIRS}) k)"
 _BLOCK = "x.route = y.route AND x.b1 = y.b1 AND x.subject = y.subject AND x.b2 = y.b2 AND x.doc_id = left_doc AND y.doc_id = right_doc AND (x.route = 'kp' OR x.kp_key <> y.kp_key)"
 
 
-@query(f"{_with(A.SPLIT_ANCHORS)}, {_KNOWN_CTE} {_AUDIT.format(match='m x, m y', cond=_BLOCK)}")
+@query(f"{_with(A.SPLIT_ANCHORS)}, {_KNOWN_CTE}{_AUDIT.format(match='m x, m y', cond=_BLOCK)}")
 def a5_blocking_audit(spark, sf_dir):
     an = A.select(spark, sf_dir, A.SPLIT_ANCHORS)
     return recall.audit_blocking(an, _known(spark, sf_dir, A.AUDIT_PAIRS)).select(F.col("left").alias("left_doc"), F.col("right").alias("right_doc"), F.coalesce("reason", F.lit("recovered")).alias("reason"))
@@ -342,7 +346,7 @@ def a5_blocking_audit(spark, sf_dir):
 _PREP = "x.subject = y.subject AND x.slot = y.slot AND x.doc_id = left_doc AND y.doc_id = right_doc AND (x.kp_key = y.kp_key OR (x.alias_scope = 'all' AND y.alias_scope = 'all'))"
 
 
-@query(f"{_with(A.SPLIT_ANCHORS)}, {_KNOWN_CTE} {_AUDIT.format(match='an x, an y', cond=_PREP)}")
+@query(f"{_with(A.SPLIT_ANCHORS)}, {_KNOWN_CTE}{_AUDIT.format(match='an x, an y', cond=_PREP)}")
 def a6_preparation_audit(spark, sf_dir):
     an = A.select(spark, sf_dir, A.SPLIT_ANCHORS)
     return recall.audit_preparation(an, _known(spark, sf_dir, A.AUDIT_PAIRS)).select(F.col("left").alias("left_doc"), F.col("right").alias("right_doc"), F.coalesce("reason", F.lit("recovered")).alias("reason"))
