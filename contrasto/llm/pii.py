@@ -311,6 +311,8 @@ def train_crf(table: list[tuple[str, list[tuple[int, int, int]]]], steps: int =
             gold[inside] = 2 + 2 * kind
             gold[inside[0]] = 1 + 2 * kind
         rows.append((_sequence(tokens), gold))
+    # the longest first, so that a step in time takes the rows that go on and no padding
+    rows.sort(key=lambda r: -len(r[0]))
     index: dict[str, int] = {}
     for seq, _ in rows:
         for t in seq:
@@ -319,6 +321,7 @@ def train_crf(table: list[tuple[str, list[tuple[int, int, int]]]], steps: int =
     n, most, m = len(rows), max(len(s) for s, _ in rows), len(LABELS)
     size = np.array([len(s) for s, _ in rows])
     mask = np.arange(most) < size[:, None]
+    live = mask.sum(0)
     gold = np.zeros((n, most), np.int64)
     cell, feat = [], []  # (row * most + t) and offset * features + feature
     for r, (seq, g) in enumerate(rows):
@@ -349,19 +352,21 @@ def train_crf(table: list[tuple[str, list[tuple[int, int, int]]]], steps: int =
         a = np.zeros((n, most, m))
         a[:, 0] = start + score[:, 0]
         for t in range(1, most):
-            x = a[:, t - 1, :, None] + moves
+            k = live[t]
+            x = a[:k, t - 1, :, None] + moves
             top = x.max(1)
-            a[:, t] = np.where(mask[:, t, None], top + np.log(np.exp(x - top[:, None]).sum(1)) + score[:, t], a[:, t - 1])
+            a[:k, t] = top + np.log(np.exp(x - top[:, None]).sum(1)) + score[:k, t]
+            a[k:, t] = a[k:, t - 1]
         top = a[:, -1].max(1, keepdims=True)
         z = top + np.log(np.exp(a[:, -1] - top).sum(1, keepdims=True))
         b = np.zeros((n, most, m))
         pair = np.zeros((m, m))
         for t in range(most - 2, -1, -1):
-            y = moves + (score[:, t + 1] + b[:, t + 1])[:, None, :]
+            k = live[t + 1]
+            y = moves + (score[:k, t + 1] + b[:k, t + 1])[:, None, :]
             top = y.max(2)
-            live = mask[:, t + 1, None]
-            b[:, t] = np.where(live, top + np.log(np.exp(y - top[:, :, None]).sum(2)), 0)
-            pair += (np.exp(np.minimum(a[:, t, :, None] + y - z[:, :, None], 0)) * mask[:, t + 1, None, None]).sum(0)
+            b[:k, t] = top + np.log(np.exp(y - top[:, :, None]).sum(2))
+            pair += np.exp(np.minimum(a[:k, t, :, None] + y - z[:k, :, None], 0)).sum(0)
         p = np.exp(np.minimum(a + b - z[:, :, None], 0)) * mask[:, :, None]
         delta = (one - p).reshape(n * most, m)
         gw = np.zeros_like(w)
