@@ -15,7 +15,8 @@ take 8 bytes a word; an empty table gives an empty result; further columns are i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -137,7 +138,17 @@ def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 TASK = "block int, value long, a long, b long, side int, fp long, node long, k int"
 
 
-def _join_tries(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _partners(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """An index that each index is linked with, itself if there is none."""
+    other = np.arange(n)
+    for i, j in links:
+        for u, v in ((i, j), (j, i)):
+            new = other[u] == u
+            other[u[new]] = v[new]
+    return other
+
+
+def _join_tries(t: dict[str, np.ndarray], ends: Callable = forest) -> Iterator[pa.RecordBatch]:
     """Whole tries, sorted by (block, value, a, b, side, turned fingerprint)."""
     turn = np.array([64 - s - w for s, w in BLOCKS], np.uint64)[t["block"]]
     fp = t["fp"].view(np.uint64)
@@ -164,13 +175,13 @@ def _join_tries(t: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
             at = depth == d
             yield from walk(keys, [lo1[at], hi1[at], lo2[at], hi2[at], diff[at]], int(d))
 
-    root = forest(n, links())
+    root = ends(n, links())
     linked = np.flatnonzero(root != np.arange(n))
     if len(linked):
         yield batch(EDGES, {"u": t["node"][linked], "v": t["node"][root[linked]]})
 
 
-def join_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def join_tries(batches: Iterator[pa.RecordBatch], ends: Callable = forest) -> Iterator[pa.RecordBatch]:
     """Tries as they come, sorted; about 200,000 fingerprints at a time, cut between tries."""
     held: list[pa.RecordBatch] = []
     n = 0
@@ -190,14 +201,14 @@ def join_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 same &= x == x[-1]
             cut = n - int(same.sum())
             if cut:
-                yield from _join_tries(arrays(t.slice(0, cut)))
+                yield from _join_tries(arrays(t.slice(0, cut)), ends)
                 held, n = t.slice(cut).to_batches(), n - cut
     if n:
-        yield from _join_tries(arrays(pa.Table.from_batches(held)))
+        yield from _join_tries(arrays(pa.Table.from_batches(held)), ends)
 
 
-def link_fingerprints(nodes: DataFrame, trie_limit: int = TRIE_LIMIT) -> DataFrame:
-    """nodes: distinct fp with a long node id.  Edges (u, v) whose components are those of the links."""
+def link_fingerprints(nodes: DataFrame, trie_limit: int = TRIE_LIMIT, partners: bool = False) -> DataFrame:
+    """nodes: distinct fp with a long node id.  Edges (u, v) whose components are those of the links; or, as partners, one link of each node and trie."""
     spark = nodes.sparkSession
     blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1).cast("long")).alias("value")) for i, (s, w) in enumerate(BLOCKS)])
     routed = nodes.select("fp", "node", F.explode(blocks).alias("x")).select("fp", "node", "x.block", "x.value")
@@ -212,8 +223,9 @@ def link_fingerprints(nodes: DataFrame, trie_limit: int = TRIE_LIMIT) -> DataFra
     routed = routed.withColumn("p", F.expr(f"CASE WHEN k = 0 THEN 0L ELSE shiftrightunsigned(shiftleft({turned}, width), 64 - k) END"))
     masks = [(k, m) for k in range(41) for m in {0} | {1 << i for i in range(k)} | {(1 << i) | (1 << j) for i in range(k) for j in range(i)}]
     routed = routed.join(F.broadcast(spark.createDataFrame(masks, "k int, mask long")), "k")
+    joined = partial(join_tries, ends=_partners) if partners else join_tries
     tasks = routed.selectExpr("block", "value", "least(p, p ^ mask) AS a", "greatest(p, p ^ mask) AS b", "CAST(p > (p ^ mask) AS int) AS side", "fp", "node", "k")
-    return tasks.repartition("block", "value", "a", "b").sortWithinPartitions("block", "value", "a", "b").mapInArrow(join_tries, "u long, v long")
+    return tasks.repartition("block", "value", "a", "b").sortWithinPartitions("block", "value", "a", "b").mapInArrow(joined, "u long, v long")
 
 
 def simhash_components(fps: DataFrame, trie_limit: int = TRIE_LIMIT) -> DataFrame:
