@@ -194,10 +194,9 @@ def join_tries(batches: Iterator[pa.RecordBatch], ends: Callable = forest) -> It
         n += b.num_rows
         if n > 200_000:
             t = pa.Table.from_batches(held).combine_chunks()
-            ends = [t.column(c).to_numpy() for c in ("block", "value", "a", "b")]
-            cut = n - 1
             same = np.ones(n, bool)
-            for x in ends:
+            for c in ("block", "value", "a", "b"):
+                x = t.column(c).to_numpy()
                 same &= x == x[-1]
             cut = n - int(same.sum())
             if cut:

@@ -7,6 +7,7 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from contrasto.llm import exact_dedup as D
@@ -123,6 +124,20 @@ def test_trie_join(spark):
         assert {back[r["fp"]]: r["component_id"] for r in S.simhash_components(df, limit).collect()} == want
 
 
+def test_trie_join_of_many_fingerprints_in_one_task():
+    """More fingerprints in a task than it joins at a time."""
+    rng = np.random.default_rng(3)
+    fp = np.unique(rng.integers(0, 1 << 61, 130_000) << 2)
+    fp = np.sort(np.concatenate([fp, fp ^ 1]))  # each has a partner one bit away
+    n = len(fp)
+    zero = np.zeros(n, np.int64)
+    t = {"block": zero.astype(np.int32), "value": fp >> 42, "a": zero, "b": zero, "side": zero.astype(np.int32), "fp": fp, "node": np.arange(n), "k": zero.astype(np.int32)}
+    whole = pa.RecordBatch.from_pydict(t)
+    edges = [(u, v) for b in S.join_tries(whole.slice(i, 10_000) for i in range(0, n, 10_000)) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist())]
+    assert n > 200_000 and {x for e in edges for x in e} == set(range(n))
+    assert all(int(fp[u] ^ fp[v]).bit_count() <= 4 for u, v in edges)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(60)] + [(100 + rng.randrange(40), 100 + rng.randrange(40)) for _ in range(30)] + [(5, 5)]
