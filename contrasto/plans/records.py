@@ -41,8 +41,8 @@ def s2_split_lines(spark, sf_dir):
     path = _folder(spark, "plain")
     jsonl.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "text").repartition(3), path)
     rows = jsonl.read_lines(spark, f"{path}/*.json", split_bytes=1 << 16)
-    files = rows.groupBy("file").agg((F.count_distinct("line") == F.max("line")).alias("numbered"))
-    r = rows.join(files, "file").select(F.from_json("value", "doc_id long, text string").alias("r"), "numbered")
+    files = rows.groupBy("file").agg((F.count_distinct("line") == F.max("line")).alias("numbered"))  # three rows
+    r = rows.join(F.broadcast(files), "file").select(F.from_json("value", "doc_id long, text string").alias("r"), "numbered")
     return r.select("r.doc_id", F.md5(F.coalesce("r.text", F.lit(""))).alias("digest"), "numbered")
 
 
@@ -140,8 +140,8 @@ _RECORD_SQL = f"""{catalog._TOPK_SQL}, merged AS ({catalog._MERGED}),
 def a3_f21_candidate_records(spark, sf_dir):
     """Whole records: references of both documents, subjects as structs, score structs."""
     flat = A.select(spark, sf_dir, A.ORDER_ANCHORS)
-    nested = flat.select("doc_id", F.struct(F.col("kp_key").alias("key")).alias("knowledge_point"), "confidence", F.struct(F.col("subject").alias("norm"), "alias_scope").alias("subject"), F.lit("").alias("evidence"), "dates", "numbers", "source_domain", F.col("seq").alias("place"))
-    r = K.records(K.build_candidates(flat, catalog._TOPK), K.references(nested), K.subject_structs(nested))
+    reference = F.struct("doc_id", F.struct(F.col("kp_key").alias("key")).alias("knowledge_point"), "confidence", F.lit("").alias("evidence"), "dates", "numbers", "source_domain")
+    r = K.build_records(flat.select("*", reference.alias("reference"), F.struct(F.col("subject").alias("norm"), "alias_scope").alias("subject_struct")), catalog._TOPK)
     ref = lambda d: F.concat_ws("~", d["doc_id"], d["knowledge_point"]["key"], F.round(d["confidence"] * 100).cast("long").cast("string"), joined(d["dates"], ","), joined(d["numbers"], ","), d["source_domain"])
     best = F.col("retrieval_scores.best_support")
     names = F.transform("subjects", lambda x: F.concat(x["norm"], F.lit("/"), x["alias_scope"]))
