@@ -101,31 +101,39 @@ JUDGMENT = "label string, credit string, rationale string, reasoning string, gol
 
 def json_object(x: str | Column) -> Column:
     """The JSON object in a model's text: a fenced one, else from the first to the last brace."""
-    text = F.trim(T.col(x))
-    fenced = F.regexp_extract(text, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    return F.when(fenced != "", fenced).otherwise(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
+
+    def found(text: Column) -> Column:
+        fenced = F.regexp_extract(text, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)
+        return T.let(fenced, lambda f: F.when(f != "", f).otherwise(F.regexp_extract(text, r"(?s)(\{.*\})", 1)))
+
+    return T.let(F.trim(T.col(x)), found)
 
 
 def parse_judgment(x: str | Column, gold_count: str | Column | None = None) -> Column:
     """struct<label, rationale, covered, contradictions, error>; label is null where error is not."""
-    v = F.from_json(json_object(x), JUDGMENT)
-    raw = F.lower(F.trim(F.coalesce(F.nullif(v["label"], F.lit("")), v["credit"], F.lit(""))))
-    label = F.try_element_at(_map(C.JUDGE_LABELS), raw)
-    golds, contradictions = v["gold_assessments"], v["material_contradictions"]
-    covered = F.size(F.filter(golds, lambda g: g["covered"]))
-    expect = F.when((F.size(contradictions) > 0) | (covered == 0), "failed").when(covered == F.size(golds), "complete").otherwise("partial")
-    given = golds.isNotNull() | contradictions.isNotNull()
-    checks = [
-        F.when(label.isNull(), "unknown judge label or credit"),
-        F.when(given & golds.isNull(), "gold_assessments must be an array"),
-        F.when(given & F.exists(golds, lambda g: g["covered"].isNull()), "each gold assessment requires a boolean covered field"),
-        F.when(given & contradictions.isNull(), "material_contradictions must be an array"),
-        F.when(given & (label != expect), "judge credit is inconsistent with coverage"),
-    ]
-    if gold_count is not None:
-        checks.insert(2, F.when(given & (F.size(golds) != T.col(gold_count)), "gold_assessments has another number of entries"))
-    error = F.coalesce(*checks)
-    return F.struct(F.when(error.isNull(), label).alias("label"), F.trim(F.coalesce(F.nullif(v["rationale"], F.lit("")), v["reasoning"], F.lit(""))).alias("rationale"), covered.alias("covered"), F.size(contradictions).alias("contradictions"), error.alias("error"))
+    # every name stands for a value computed once: the text is parsed once however often the checks read it
+    def read(v: Column) -> Column:
+        raw = F.lower(F.trim(F.coalesce(F.nullif(v["label"], F.lit("")), v["credit"], F.lit(""))))
+        covered = F.size(F.filter(v["gold_assessments"], lambda g: g["covered"]))
+        rationale = F.trim(F.coalesce(F.nullif(v["rationale"], F.lit("")), v["reasoning"], F.lit("")))
+        return T.let(F.struct(F.try_element_at(_map(C.JUDGE_LABELS), raw).alias("label"), covered.alias("covered"), F.size(v["material_contradictions"]).alias("contradictions"), rationale.alias("rationale")), lambda s: checked(v, s))
+
+    def checked(v: Column, s: Column) -> Column:
+        golds, contradictions, label, covered = v["gold_assessments"], v["material_contradictions"], s["label"], s["covered"]
+        expect = F.when((s["contradictions"] > 0) | (covered == 0), "failed").when(covered == F.size(golds), "complete").otherwise("partial")
+        given = golds.isNotNull() | contradictions.isNotNull()
+        checks = [
+            F.when(label.isNull(), "unknown judge label or credit"),
+            F.when(given & golds.isNull(), "gold_assessments must be an array"),
+            F.when(given & F.exists(golds, lambda g: g["covered"].isNull()), "each gold assessment requires a boolean covered field"),
+            F.when(given & contradictions.isNull(), "material_contradictions must be an array"),
+            F.when(given & (label != expect), "judge credit is inconsistent with coverage"),
+        ]
+        if gold_count is not None:
+            checks.insert(2, F.when(given & (F.size(golds) != T.col(gold_count)), "gold_assessments has another number of entries"))
+        return T.let(F.coalesce(*checks), lambda error: F.struct(F.when(error.isNull(), label).alias("label"), s["rationale"].alias("rationale"), covered.alias("covered"), s["contradictions"].alias("contradictions"), error.alias("error")))
+
+    return T.let(F.from_json(json_object(x), JUDGMENT), read)
 
 
 def item_errors() -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contrasto.functions import entities as E
 from contrasto.functions import text as T
-from contrasto.operators import mentions, web
+from contrasto.operators import evaluation, mentions, web
 
 
 def one(spark, col, **values):
@@ -123,3 +123,9 @@ def test_web(spark):
     assert hidden == {"title": "x z", "text": "yes © 1\ntwo three\nx z"}
     fake = lambda ip: lambda h, p: [(0, 0, 0, "", (ip, p))]
     assert web.is_public_url("https://a.example", fake("8.8.8.8")) and not web.is_public_url("http://a.example", fake("10.0.0.1")) and not web.is_public_url("file:///x", fake("8.8.8.8"))
+
+
+def test_judgments_are_parsed_once():
+    """However many checks read a judgment, its text is searched and parsed once."""
+    said = str(evaluation.parse_judgment("raw", F.lit(2)))
+    assert said.count("from_json") == 1 and said.count("trim(raw)") == 1
