@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from contrasto.functions import constants as C
 from contrasto.functions import entities as E
 from contrasto.functions import text as T
 from contrasto.operators import evaluation, mentions, web
@@ -125,7 +126,34 @@ def test_web(spark):
     assert web.is_public_url("https://a.example", fake("8.8.8.8")) and not web.is_public_url("http://a.example", fake("10.0.0.1")) and not web.is_public_url("file:///x", fake("8.8.8.8"))
 
 
-def test_judgments_are_parsed_once():
+def test_judgments_are_parsed_once(spark):
     """However many checks read a judgment, its text is searched and parsed once."""
     said = str(evaluation.parse_judgment("raw", F.lit(2)))
     assert said.count("from_json") == 1 and said.count("trim(raw)") == 1
+
+
+def test_slots_as_by_pattern_alone(spark):
+    """Words within words, other cases, folding beyond ASCII: as the patterns say."""
+    words = ["aged", "AGE", "page", "years old", "no.", "no", "ſize", "sİze", "ſtaff", "Kılled", "Killed", "work's cost", "cost-of", "élection", "elections", "prısON", "due  to", "due to", "size_", "ranked."]
+    rng = random.Random(6)
+    texts = [*words, None, "", *[" ".join(rng.choices(words, k=4)) for _ in range(60)]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    alone = [F.when(F.coalesce("t", F.lit("")).rlike(rf"(?iU)\b(?:{w})\b"), F.lit(n)) for n, w in C.SLOT_WORDS.items()]
+    rows = df.select("t", T.extract_slots("t").alias("got"), F.array_compact(F.array(*alone)).alias("want")).collect()
+    assert all(list(r["got"]) == list(r["want"]) for r in rows) and sum(map(lambda r: len(r["want"]), rows)) > 50
+
+
+def test_slots_take_less_than_patterns(spark):
+    """Patterns are tried where a word of theirs lies: fast on texts without any."""
+    import time
+
+    df = spark.range(20_000).select(F.concat(F.lit("Nothing here names what the patterns look for, in sentence " * 3), F.col("id").cast("string")).alias("t")).repartition(1).cache()
+    df.count()
+
+    def seconds(c):
+        start = time.perf_counter()
+        df.select(c.alias("x")).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    alone = F.array_compact(F.array(*[F.when(F.col("t").rlike(rf"(?iU)\b(?:{w})\b"), F.lit(n)) for n, w in C.SLOT_WORDS.items()]))
+    assert min(seconds(T.extract_slots("t")) for _ in range(3)) < min(seconds(alone) for _ in range(3))
