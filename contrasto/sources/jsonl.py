@@ -76,7 +76,8 @@ def read_lines(spark: SparkSession, paths: list[str] | str, split_bytes: int = S
     splits = files.select("path", "length", F.explode(cut).alias("k"))
     splits = splits.select("path", (F.col("k") * split_bytes).alias("start"), F.when(plain, F.least((F.col("k") + 1) * split_bytes, F.col("length"))).otherwise(F.col("length")).alias("end"), (plain & (F.col("length") > split_bytes)).alias("several"))
     total = splits.agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.max(F.col("several").cast("int")).alias("several")).first()
-    tasks = max(1, min(total["n"], max(spark.sparkContext.defaultParallelism, -(-(total["bytes"] or 0) // split_bytes))))
+    # a task takes splits of SPLIT_BYTES in all, however small each is, so that the driver keeps track of few tasks
+    tasks = max(1, min(total["n"], max(spark.sparkContext.defaultParallelism, -(-(total["bytes"] or 0) // max(split_bytes, SPLIT_BYTES)))))
     kind = "path string, start long, end long, lines long"
     first = F.lit(0).cast("long").alias("first")
     if not total["several"]:
@@ -103,7 +104,7 @@ def _raw_lines(path: str, start: int, end: int) -> Iterator[bytes]:
     with where.open_input_file(name) as raw:
         at = max(0, start - 1)
         raw.seek(at)
-        text = io.BufferedReader(raw, 1 << 20)
+        text = io.BufferedReader(raw, max(1 << 13, min(1 << 20, end - at)))
         if start:
             at += len(text.readline())
         while at < end and (line := text.readline()):

@@ -121,3 +121,13 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         tables.shared_dir(Session)
     assert tables.shared_dir(spark)
+
+
+def test_small_splits_make_few_tasks(spark, tmp_path):
+    """Thousands of small splits are read by as many tasks as the bytes need."""
+    p = tmp_path / "x.json"
+    p.write_text("".join(f"line {i}\n" for i in range(30_000)))
+    rows = jsonl.read_lines(spark, str(p), split_bytes=64)
+    assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    got = rows.collect()
+    assert len(got) == 30_000 and all(r["value"] == f"line {r['line'] - 1}" for r in got)
